@@ -10,6 +10,34 @@ from pyspark.sql import functions as F
 from .common import docs_table
 
 
+#: The public vocabulary file that op9 encodes with; the installed package knows its place.
+VOCABULARY = "piece_bpe_32k.model"
+
+
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(docs_table(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
+def op9_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encode_decode
+
+    out = encode_decode(docs_table(spark, sf_dir), _vocabulary())
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import hex16, simhash_near_dups
 
@@ -19,6 +47,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op7_source_mixing": op7_source_mixing,
+        "op9_sentencepiece_round_trip": op9_sentencepiece_round_trip,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
 
