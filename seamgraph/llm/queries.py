@@ -20,6 +20,13 @@ def _vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import substring_dedup
+
+    out = substring_dedup(docs_table(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import line_dedup
 
@@ -54,6 +61,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_substring_dedup": op3_substring_dedup,
         "op6_line_dedup": op6_line_dedup,
         "op7_source_mixing": op7_source_mixing,
         "op9_sentencepiece_round_trip": op9_sentencepiece_round_trip,
