@@ -50,16 +50,11 @@ def release(spark: SparkSession) -> None:
 
 def words(text: Column) -> Column:
     """Words of a text; none for null."""
-    flat = F.trim(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "))
-    return F.filter(F.split(flat, " +"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", -1), "")
 
 
 def n_words(text: Column) -> Column:
-    return F.size(F.split(F.trim(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")), " +")).cast(
-        "long"
-    ) - F.when(
-        F.trim(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")) == "", 1
-    ).otherwise(0)
+    return F.size(words(text)).cast("long")
 
 
 def let(value: Column, body) -> Column:
@@ -67,5 +62,24 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def spans(text: Column, pattern: str, group: int | None = None) -> Column:
+    """All matches of pattern, leftmost and not overlapping, as array of (start, end, found[, part]): code
+    points, end exclusive; part is the group's text. The pattern must not match the empty string."""
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group if group is not None else 0))
+    steps = F.arrays_zip(found.alias("found"), gaps.alias("gap"), parts.alias("part"))
+    kind = "array<struct<start:int,end:int,found:string,part:string>>"
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["gap"])
+        end = start + F.length(x["found"])
+        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["found"].alias("found"), x["part"].alias("part")))
+        return F.struct(end.alias("at"), F.concat(acc["out"], one.cast(kind)).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    walk = F.aggregate(F.filter(steps, lambda x: x["found"].isNotNull()), zero, step, lambda acc: acc["out"])
+    return F.when(F.regexp_like(text, F.lit(pattern)), walk).otherwise(F.array().cast(kind))
+
+
 def docs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

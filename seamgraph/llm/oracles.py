@@ -15,4 +15,45 @@ SELECT d.doc_id, len(d.lines)::BIGINT AS n_lines, k.n_removed::BIGINT AS n_remov
 FROM d JOIN k ON d.doc_id = k.doc_id
 """
 
-SQL: dict[str, str] = {"op6_line_dedup": OP6}
+#: Base counts, then fences from merged histograms per language and source.
+OP2 = r"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+a AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+      list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS tri
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM a)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, tri) AS n FROM g) WHERE n > 1),
+q AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + k AS p FROM r, (SELECT unnest([0, 1, 2]) AS k)) GROUP BY doc_id),
+s AS (SELECT a.doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(length(array_to_string(w, '')), 0)::BIGINT AS word_chars,
+      len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+      coalesce(q.n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines,
+      len(regexp_extract_all(t, '[A-Z]'))::BIGINT AS n_capitals, len(regexp_extract_all(t, '[!?]'))::BIGINT AS n_exclaims
+      FROM a LEFT JOIN q ON a.doc_id = q.doc_id),
+m AS (SELECT *, unnest([
+        {'k': 'symbols', 'v': CASE WHEN word_chars = 0 THEN 0 ELSE n_symbols * 1000 // word_chars END, 'slack': 20},
+        {'k': 'capitals', 'v': CASE WHEN word_chars = 0 THEN 0 ELSE n_capitals * 1000 // word_chars END, 'slack': 60},
+        {'k': 'exclaims', 'v': CASE WHEN word_chars = 0 THEN 0 ELSE n_exclaims * 1000 // word_chars END, 'slack': 10},
+        {'k': 'dup_lines', 'v': CASE WHEN n_lines = 0 THEN 0 ELSE n_dup_lines * 1000 // n_lines END, 'slack': 350},
+        {'k': 'repeats', 'v': CASE WHEN n_words = 0 THEN 0 ELSE n_repeat_words * 1000 // n_words END, 'slack': 350},
+        {'k': 'word_length', 'v': CASE WHEN n_words = 0 THEN 0 ELSE word_chars * 100 // n_words END, 'slack': 100}]) AS x FROM s),
+v AS (SELECT doc_id, lang, source, n_words, x.k AS k, x.v AS v, x.slack AS slack, greatest(0, length(bin(x.v)) - 5) AS low FROM m),
+b AS (SELECT lang, source, k, CASE WHEN v < 16 THEN v ELSE (v >> low) << low END AS b, count(*) AS n FROM v WHERE n_words > 0 GROUP BY ALL),
+lv AS (SELECT 1 AS lv, lang, source, k, b, n FROM b UNION ALL SELECT 2, lang, NULL, k, b, sum(n) FROM b GROUP BY lang, k, b
+       UNION ALL SELECT 3, NULL, NULL, k, b, sum(n) FROM b GROUP BY k, b),
+c AS (SELECT *, sum(n) OVER (PARTITION BY lv, lang, source, k ORDER BY b) AS upto, sum(n) OVER (PARTITION BY lv, lang, source, k) AS total FROM lv),
+z AS (SELECT lv, lang, source, k, any_value(total) AS total, min(b) FILTER (upto * 100 >= total * 10) AS q10,
+      min(b) FILTER (upto * 100 >= total * 50) AS q50 FROM c GROUP BY lv, lang, source, k),
+f AS (SELECT o.lang, o.source, o.k,
+        CASE WHEN o.total >= 200 THEN o.q50 + 4 * (o.q50 - o.q10) WHEN l.total >= 200 THEN l.q50 + 4 * (l.q50 - l.q10) ELSE t.q50 + 4 * (t.q50 - t.q10) END AS f
+      FROM z o JOIN z l ON o.lv = 1 AND l.lv = 2 AND o.k = l.k AND o.lang IS NOT DISTINCT FROM l.lang JOIN z t ON t.lv = 3 AND t.k = o.k),
+j AS (SELECT v.doc_id, bool_and(v.v <= f.f + v.slack) AS within FROM v JOIN f ON v.k = f.k AND v.lang IS NOT DISTINCT FROM f.lang
+      AND v.source IS NOT DISTINCT FROM f.source GROUP BY v.doc_id)
+SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(within, false) AS kept
+FROM s LEFT JOIN j ON s.doc_id = j.doc_id
+"""
+
+SQL: dict[str, str] = {
+    "op2_quality_rules": OP2,
+    "op6_line_dedup": OP6,
+}
