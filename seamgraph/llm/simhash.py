@@ -127,19 +127,15 @@ def _forest(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, n
 def _links(cells: DataFrame, distance: int, cell_cap: int) -> DataFrame:
     """(u, v): a spanning forest of the links in every cell."""
     count = cells.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > cell_cap)
-    hot = count.select("cell", F.ceil(F.col("n") / cell_cap).cast("int").alias("k"))
-    dealt = cells.join(hot, "cell", "left").select(
-        "cell", "fp", "up", F.coalesce("k", F.lit(1)).alias("k"),
-        F.pmod(F.xxhash64("fp"), F.coalesce("k", F.lit(1))).cast("int").alias("mine"),
-    )
-    # points in their own cell are rows of the block grid and also its columns; those from below are rows
-    one = F.lit(1)
-    flat = dealt.filter(F.col("k") == one).select("cell", F.lit(0).alias("block"), "fp", F.when(F.col("up"), 2).otherwise(3).alias("role"))
-    many = dealt.filter(F.col("k") > one).select("cell", "fp", "up", "k", "mine", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
-    as_row = many.select("cell", (F.col("mine") * F.col("k") + F.col("o")).alias("block"), "fp", F.when(F.col("up"), 2).otherwise(1).alias("role"))
-    as_col = many.filter(~F.col("up")).select("cell", (F.col("o") * F.col("k") + F.col("mine")).alias("block"), "fp", F.lit(4).alias("role"))
+    hot = durable(count.select("cell", F.ceil(F.col("n") / cell_cap).cast("int").alias("k")), "hot-cells")
+    k, mine = F.coalesce("k", F.lit(1)), F.pmod(F.xxhash64("fp"), F.coalesce("k", F.lit(1))).cast("int")
+    others = F.sequence(F.lit(0), F.col("k") - 1)
     # role bits: 1 own-cell row, 2 row from below, 4 column; 3 stands for an own-cell point that is row and column
-    rows = flat.unionByName(as_row).unionByName(as_col)
+    whole = F.array(F.struct(F.lit(0).alias("block"), F.when(F.col("up"), 2).otherwise(3).alias("role")))
+    as_row = F.transform(others, lambda o: F.struct((F.col("mine") * F.col("k") + o).alias("block"), F.when(F.col("up"), 2).otherwise(1).alias("role")))
+    as_col = F.transform(others, lambda o: F.struct((o * F.col("k") + F.col("mine")).alias("block"), F.lit(4).alias("role")))
+    blocks = F.when(F.col("k") == 1, whole).when(F.col("up"), as_row).otherwise(F.concat(as_row, as_col))
+    rows = cells.join(hot, "cell", "left").select("cell", "fp", "up", k.alias("k"), mine.alias("mine")).select("cell", "fp", F.inline(blocks))
 
     def go(batches):
         import pyarrow as pa
