@@ -20,6 +20,14 @@ def _vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import BASE, listed, secret_scan
+
+    out = secret_scan(docs_table(spark, sf_dir))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", *[count(k) for k in BASE], F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_rules
 
@@ -67,6 +75,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scan": op1_secret_scan,
         "op2_quality_rules": op2_quality_rules,
         "op3_substring_dedup": op3_substring_dedup,
         "op6_line_dedup": op6_line_dedup,
