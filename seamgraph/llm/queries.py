@@ -54,6 +54,18 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs_table(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+#: Stands in for the secret that a deployment keeps in spark.seamgraph.pii.key.
+PII_KEY = "a key for tests and checks"
+
+
+def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import PATTERNS, pseudonymize
+
+    out = pseudonymize(docs_table(spark, sf_dir), spark.conf.get("spark.seamgraph.pii.key", PII_KEY))
+    count = lambda kind: F.size(F.filter("finds", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", *[count(k) for k in PATTERNS], "text")
+
+
 def op9_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode_decode
 
@@ -80,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_substring_dedup": op3_substring_dedup,
         "op6_line_dedup": op6_line_dedup,
         "op7_source_mixing": op7_source_mixing,
+        "op8_pii_pseudonyms": op8_pii_pseudonyms,
         "op9_sentencepiece_round_trip": op9_sentencepiece_round_trip,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
