@@ -41,6 +41,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .covertree import embedding_near_dups
+
+    return embedding_near_dups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import line_dedup
 
@@ -90,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scan": op1_secret_scan,
         "op2_quality_rules": op2_quality_rules,
         "op3_substring_dedup": op3_substring_dedup,
+        "op4_embedding_near_dedup": op4_embedding_near_dedup,
         "op6_line_dedup": op6_line_dedup,
         "op7_source_mixing": op7_source_mixing,
         "op8_pii_pseudonyms": op8_pii_pseudonyms,
