@@ -47,6 +47,12 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_dups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cotrain import cotrain
+
+    return cotrain(docs_table(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import line_dedup
 
@@ -97,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": op2_quality_rules,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_embedding_near_dedup": op4_embedding_near_dedup,
+        "op5_quality_classifier": op5_quality_classifier,
         "op6_line_dedup": op6_line_dedup,
         "op7_source_mixing": op7_source_mixing,
         "op8_pii_pseudonyms": op8_pii_pseudonyms,
