@@ -122,7 +122,7 @@ def range_sorted(df: DataFrame, total: float, *ties: str) -> DataFrame:
     """Rows in order of position, those without one first. Positions spread over [0, total] as the words
     do, so equal ranges of them are the partitions; nothing need be sampled."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = F.floor(F.coalesce("position", F.xxhash64(*ties) % 1000 / 1000 * total) * n / max(total, 1.0))
+    at = F.floor(F.coalesce("position", F.pmod(F.xxhash64(*ties), F.lit(1000)) / 1000 * total) * n / max(total, 1.0))
     return df.repartitionById(n, F.least(F.lit(n - 1), F.greatest(F.lit(0), at)).cast("int")).sortWithinPartitions("position", *ties)
 
 
