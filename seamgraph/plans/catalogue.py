@@ -217,7 +217,7 @@ def candidate_path_join(s, d):
 
 
 @_register(
-    """WITH x AS (SELECT event_id, epoch(ts)::BIGINT AS sec FROM events),
+    """WITH x AS (SELECT event_id, floor(epoch(ts))::BIGINT AS sec FROM events),
     b AS (SELECT min(sec) AS lo FROM x),
     i AS (SELECT o_orderkey AS span, lo + (o_orderkey * 977) % 2000000 AS lo2, lo + (o_orderkey * 977) % 2000000 + 600 + (o_orderkey % 50) * 60 AS hi FROM orders, b WHERE o_orderkey % 5 = 0)
     SELECT event_id, sec, span FROM (SELECT x.*, i.span, row_number() OVER (PARTITION BY event_id ORDER BY hi - lo2 NULLS LAST, span) AS k
