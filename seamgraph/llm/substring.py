@@ -1,15 +1,16 @@
 """Exact substring dedup: every window of WINDOW words that starts at two places or more goes.
 
 1. Recompression (see recompress.py) names the texts' symbols; those whose context fits in a window are
-   counted over the whole corpus. A window that covers the context of a symbol that occurs once occurs
-   once itself and is settled; so is most of the text.
-2. The other windows, in blocks that start in one symbol, are named by content (128 bits). A block whose
-   name repeats is a repeat as a whole: its windows are settled, and one place speaks for all of them.
+   kept as a table and counted over the whole corpus. A window that covers the context of a symbol that
+   occurs once occurs once itself and is settled; so is most of the text.
+2. The other windows, in blocks that end where the next symbol's context starts, are named by content
+   (128 bits). A block whose name repeats is a repeat as a whole: its windows are settled, and one place
+   speaks for all of them.
 3. The remaining windows are counted one by one, against each other and those places.
 
 Only names and places are exchanged, by partial counts and joins that the engine may split, so a passage
 in a third of all documents costs as many rows as it has places. Finished steps are written to the shared
-folder and their shuffle files released.
+folder, which also releases their shuffle files.
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, forget, release
+from .common import durable, forget
 from .recompress import Parse, U, fenced, stir, window_hashes, word_hashes
 
 WINDOW = 35
 ROUNDS, LONGEST = 6, 12
 #: Words that a worker parses at a time; a longer text is parsed alone.
 AT_ONCE = 250_000
-#: Low bits of a packed place: the symbol's ordinal in its document. The last value: look at the whole document.
+#: Low bits of a packed place: the symbol's ordinal in its document. Later symbols count as repeated.
 ORD = (1 << 24) - 1
 
 
@@ -50,109 +51,151 @@ def _groups(texts):
         yield lo, own
 
 
-def _parse(own: list[np.ndarray], size: int):
-    """(words, fence, starts, symbols lo, hi, name, row, ordinal) of the symbols whose context fits."""
-    words, fence, starts = fenced(own)
-    p = Parse(words, fence).rounds(ROUNDS, LONGEST)
-    at = np.flatnonzero(~p.fence & (p.hi - p.lo <= size))
-    row = np.searchsorted(starts, p.start[at], side="right") - 1
-    first = np.searchsorted(row, np.arange(len(own)))
-    return words, fence, starts, p, at, row, np.arange(len(at)) - first[row]
+def _parsed(keyed: DataFrame, size: int) -> DataFrame:
+    """(id, rid, n, name, lo, width): a document's words and, of its symbols whose context fits, the names and
+    contexts (first word and number of words)."""
 
+    def go(batches):
+        import pyarrow as pa
 
-def _uncovered(n: int, lo: np.ndarray, hi: np.ndarray, size: int) -> np.ndarray:
-    """Per place: no range lo..hi lies in the window that starts there."""
-    change = np.zeros(n + 1, np.int64)
-    np.add.at(change, np.maximum(0, hi - size), 1)
-    np.add.at(change, lo + 1, -1)
-    return np.cumsum(change[:-1]) <= 0
+        for b in batches:
+            for first, own in _groups(b.column(2)):
+                words, fence, starts = fenced(own)
+                p = Parse(words, fence).rounds(ROUNDS, LONGEST)
+                at = np.flatnonzero(~p.fence & (p.hi - p.lo <= size) & (p.lo >= 0))
+                # a context that reaches a fence lies in no window
+                lo, hi = p.lo[at], p.hi[at]
+                row = np.searchsorted(starts, p.start[at], side="right") - 1
+                n = np.array([len(x) for x in own], np.int64)
+                inside = (lo >= starts[row]) & (hi <= starts[row] + n[row])
+                at, lo, hi, row = at[inside], lo[inside], hi[inside], row[inside]
+                ends = np.searchsorted(row, np.arange(len(own) + 1)).astype(np.int32)
+                flat = [pa.array(p.name[at].view(np.int64)), pa.array((lo - starts[row]).astype(np.int32)), pa.array((hi - lo).astype(np.int8))]
+                part = b.slice(first, len(own))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(n.astype(np.int32)), *[pa.ListArray.from_arrays(ends, x) for x in flat]],
+                    ["id", "rid", "n", "name", "lo", "width"],
+                )
 
+    return keyed.select("id", "rid", "text").mapInArrow(go, "id long, rid long, n int, name array<long>, lo array<int>, width array<byte>")
 
-def _window_starts(fence: np.ndarray, size: int) -> np.ndarray:
-    at = np.flatnonzero(fence)
-    place = np.arange(len(fence))
-    return at[np.searchsorted(at, place)] - place >= size
 
+def _open_blocks(parsed: DataFrame, size: int) -> DataFrame:
+    """parsed with `again` (ordinals of symbols that repeat) -> (id, rid, blocks): for documents with windows
+    that no symbol settles, runs (at, n) of such windows, cut where contexts start."""
 
-def _symbols(keyed: DataFrame, size: int) -> DataFrame:
-    """(name, place): each fitting symbol with rid's upper bits and its ordinal; name is null for documents
-    that hold a window without one."""
+    def flat(col):
+        ends = col.offsets.to_numpy()
+        return col.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]], ends - ends[0]
 
     def go(batches):
         import pyarrow as pa
 
         for b in batches:
-            rid = b.column(0).to_numpy(zero_copy_only=False)
-            for lo, own in _groups(b.column(1)):
-                words, fence, starts, p, at, row, nth = _parse(own, size)
-                high = rid[lo : lo + len(own)] & ~np.int64(ORD)
-                ok = nth < ORD
-                open_ = _uncovered(len(words), p.lo[at[ok]], p.hi[at[ok]], size) & _window_starts(fence, size)
-                bare = np.unique(np.searchsorted(starts, np.flatnonzero(open_), side="right") - 1)
-                name = pa.array(np.concatenate([p.name[at[ok]].view(np.int64), np.zeros(len(bare), np.int64)]), mask=np.arange(ok.sum() + len(bare)) >= ok.sum())
-                place = np.concatenate([high[row[ok]] | nth[ok], high[bare] | ORD])
-                yield pa.RecordBatch.from_arrays([name, pa.array(place)], ["name", "place"])
+            words = b.column(2).to_numpy(zero_copy_only=False)
+            cut = np.searchsorted(np.cumsum(words, dtype=np.int64), np.arange(0, int(words.sum()) + 1, 2 * AT_ONCE))
+            cut = np.unique(np.append(cut, [0, b.num_rows]))
+            for first, last in zip(cut[:-1], cut[1:]):
+                part = b.slice(first, last - first)
+                n = part.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+                start = np.concatenate([[0], np.cumsum(n + 1)])  # one place more: blocks of two documents never meet
+                lo, ends = flat(part.column(3))
+                width, _ = flat(part.column(4))
+                row = np.repeat(np.arange(len(n)), np.diff(ends))
+                lo = lo + start[row]
+                again, ends2 = flat(part.column(5).fill_null([]))
+                doc = np.repeat(np.arange(len(n)), np.diff(ends2))
+                once = np.ones(len(lo), bool)
+                ok = again < np.diff(ends)[doc]  # others belong to a document that shares rid's upper bits
+                once[ends[doc[ok]] + again[ok]] = False
+                once[np.arange(len(lo)) - ends[row] >= ORD] = False
+                total = int(start[-1])
+                change = np.zeros(total + 1, np.int64)
+                np.add.at(change, np.maximum(start[row[once]], lo[once] + width[once] - size), 1)
+                np.add.at(change, lo[once] + 1, -1)
+                open_ = np.cumsum(change[:-1]) <= 0
+                edge = np.zeros(total + 1, np.int64)  # only places where a window starts
+                fits = n >= size
+                np.add.at(edge, start[:-1][fits], 1)
+                np.add.at(edge, start[:-1][fits] + n[fits] - size + 1, -1)
+                open_ &= np.cumsum(edge[:-1]) > 0
+                w = np.flatnonzero(open_)
+                if not len(w):
+                    continue
+                bound = np.zeros(total, bool)
+                bound[lo] = True
+                head = np.ones(len(w), bool)
+                head[1:] = bound[w[1:]] | (w[1:] != w[:-1] + 1)
+                s = np.flatnonzero(head)
+                e = np.append(s[1:], len(w))
+                # a block's first and last windows name all its words: it holds no more windows than a window words
+                more = -(-(e - s) // size)
+                which = np.repeat(np.arange(len(s)), more)
+                s2 = s[which] + size * (np.arange(len(which)) - np.repeat(np.cumsum(more) - more, more))
+                n2 = np.minimum(e[which] - s2, size)
+                owner = np.searchsorted(start, w[s2], side="right") - 1
+                docs = np.unique(owner)
+                bounds = np.append(np.searchsorted(owner, docs), len(owner)).astype(np.int32)
+                runs = pa.StructArray.from_arrays([pa.array((w[s2] - start[owner]).astype(np.int32)), pa.array(n2.astype(np.int32))], ["at", "n"])
+                some = part.select([0, 1]).take(pa.array(docs))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.ListArray.from_arrays(bounds, runs)], ["id", "rid", "blocks"])
 
-    return keyed.select("rid", "text").mapInArrow(go, "name long, place long")
+    return parsed.select("id", "rid", "n", "lo", "width", "again").mapInArrow(go, "id long, rid long, blocks array<struct<at:int,n:int>>")
 
 
-def _blocks(open_docs: DataFrame, size: int) -> DataFrame:
-    """(ga, gb, id, rid, at, a, b): runs of unsettled windows that start in one symbol: the run's name, the
-    first word's place and the windows' names."""
+def _named_blocks(open_docs: DataFrame, size: int) -> DataFrame:
+    """(ga, gb, id, rid, at, a, b): the blocks' names and places, and their windows' names."""
 
     def go(batches):
         import pyarrow as pa
 
         for batch in batches:
-            ids, rid = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            again = batch.column(3)
-            for lo, own in _groups(batch.column(2)):
-                words, fence, starts, p, at, row, nth = _parse(own, size)
-                listed = [np.asarray(again[lo + k].values.to_numpy(zero_copy_only=False), np.int64) for k in range(len(own))]
-                span = np.int64(1 << 25)
-                twice = np.concatenate([k * span + x for k, x in enumerate(listed)]) if listed else np.zeros(0, np.int64)
-                once = ~np.isin(row * span + nth, twice) & (nth < ORD)
-                open_ = _uncovered(len(words), p.lo[at[once]], p.hi[at[once]], size) & _window_starts(fence, size)
-                w = np.flatnonzero(open_)
-                if not len(w):
-                    continue
+            blocks = batch.column(3)
+            for first, own in _groups(batch.column(2)):
+                part = batch.slice(first, len(own))
+                n = np.array([len(x) for x in own], np.int64)
+                start = np.concatenate([[0], np.cumsum(n)])
+                words = np.concatenate(own)
+                runs = blocks.slice(first, len(own))
+                ends = runs.offsets.to_numpy().astype(np.int64)
+                at, size_of = (f.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].astype(np.int64) for f in (runs.values.field(0), runs.values.field(1)))
+                doc = np.repeat(np.arange(len(own)), np.diff(ends))
+                s = np.cumsum(size_of) - size_of
+                w = np.repeat(at + start[doc] - s, size_of) + np.arange(int(size_of.sum()))
                 a, b = window_hashes(words, w, size)
-                symbol = np.searchsorted(p.start, w, side="right") - 1
-                head = np.ones(len(w), bool)
-                # a block's first and last windows name all its words: it is no longer than a window
-                head[1:] = (symbol[1:] != symbol[:-1]) | (w[1:] != w[:-1] + 1)
-                s = np.flatnonzero(head)
-                s = np.unique(np.concatenate([np.arange(x, y, size) for x, y in zip(s, np.append(s[1:], len(w)))]))
-                e = np.append(s[1:], len(w))
-                n = (e - s).astype(U)
-                ga, gb = stir(a[s] + stir(a[e - 1] + n)), stir(b[s] + stir(b[e - 1] ^ stir(n)))
-                doc = np.searchsorted(starts, w[s], side="right") - 1
-                ends = np.append(s, len(w)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(ends, x.view(np.int64)) for x in (a, b)]
+                e = s + size_of - 1
+                count = size_of.astype(U)
+                ga, gb = stir(a[s] + stir(a[e] + count)), stir(b[s] + stir(b[e] ^ stir(count)))
+                bounds = np.append(s, len(w)).astype(np.int32)
+                keys = part.select([0, 1]).take(pa.array(doc))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ga.view(np.int64)), pa.array(gb.view(np.int64)), pa.array(ids[lo + doc]), pa.array(rid[lo + doc]), pa.array((w[s] - starts[doc]).astype(np.int32)), *lists],
+                    [pa.array(ga.view(np.int64)), pa.array(gb.view(np.int64)), keys.column(0), keys.column(1), pa.array(at.astype(np.int32)),
+                     *[pa.ListArray.from_arrays(bounds, x.view(np.int64)) for x in (a, b)]],
                     ["ga", "gb", "id", "rid", "at", "a", "b"],
-                )
+                )
 
     schema = "ga long, gb long, id long, rid long, at int, a array<long>, b array<long>"
-    return open_docs.select("id", "rid", "text", "again").mapInArrow(go, schema)
+    small = open_docs.select("id", "rid", "text", "blocks")
+    return small.mapInArrow(go, schema)
 
 
 def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """(id, rid, runs): for documents with repeats, ranges (at, n): windows that start at words at .. at + n - 1."""
-    spark = docs.sparkSession
     keyed = _keyed(docs)
-    symbols = durable(_symbols(keyed, size), "symbols")
-    named = symbols.filter("name IS NOT NULL")
+    parsed = durable(_parsed(keyed, size), "parsed")
+    high = F.col("rid").bitwiseAND(F.lit(~ORD))
+    named = parsed.select(high.alias("high"), F.posexplode("name").alias("nth", "name")).filter(F.col("nth") < ORD)
+    named = named.select("name", F.col("high").bitwiseOR(F.col("nth")).alias("place"))
     twice = named.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name")
-    open_places = named.join(twice, "name", "left_semi").select("place").unionByName(symbols.filter("name IS NULL").select("place"))
-    high = F.col("place").bitwiseAND(F.lit(~ORD))
-    open_ = durable(open_places.groupBy(high.alias("high")).agg(F.collect_list(F.col("place").bitwiseAND(F.lit(ORD)).cast("int")).alias("again")), "open")
-    forget(symbols)
-    release(spark)
-    blocks = durable(_blocks(keyed.withColumn("high", F.col("rid").bitwiseAND(F.lit(~ORD))).join(open_, "high"), size), "blocks")
+    places = named.join(twice, "name", "left_semi").select("place")
+    again = durable(
+        places.groupBy(F.col("place").bitwiseAND(F.lit(~ORD)).alias("high"))
+        .agg(F.collect_list(F.col("place").bitwiseAND(F.lit(ORD)).cast("int")).alias("again")), "again"
+    )
+    open_ = durable(_open_blocks(parsed.withColumn("high", high).join(again, "high", "left"), size), "open")
+    forget(parsed, again)
+    blocks = durable(_named_blocks(keyed.join(open_, ["id", "rid"]), size), "blocks")
     forget(open_)
-    release(spark)
     place = F.struct("id", "rid", "at")
     counted = blocks.select("ga", "gb", "id", "rid", "at").groupBy("ga", "gb").agg(F.count("*").alias("n"), F.min(place).alias("speaker")).filter("n > 1").drop("n")
     joined = blocks.join(counted, ["ga", "gb"], "left")
@@ -163,7 +206,6 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
         F.when(speaks, F.arrays_zip("a", "b")).alias("windows"),
     ), "judged")
     forget(blocks)
-    release(spark)
     windows = judged.filter("windows IS NOT NULL").select("id", "rid", "at", "settled", F.posexplode("windows").alias("k", "w")).select(
         "id", "rid", (F.col("at") + F.col("k")).alias("at"), "settled", F.col("w.a").alias("a"), F.col("w.b").alias("b")
     )
@@ -182,7 +224,6 @@ def substring_dedup(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     text are documents of their own (and so repeat each other); an empty table gives an empty result;
     extra columns are ignored."""
     runs = repeated_windows(docs, size)
-    release(docs.sparkSession)
     joined = _keyed(docs).join(runs, ["id", "rid"], "left")
 
     def go(batches):
