@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import packet as packets
 from . import snapshot
+from .functions.ship import ship
 from .model import (
     FORMAT, VERSION, Effect, EvidenceRequest, Limits, PacketLimits, Ref, Relation, RepositoryRef, SourceFileRef, SymbolRef,
     TypeRef, canonical, digest, fail,
@@ -26,7 +27,7 @@ LOCKS = ("package-lock.json", "pnpm-lock.yaml", "Cargo.lock")
 
 
 def session() -> SparkSession:
-    return SparkSession.getActiveSession() or SparkSession.builder.appName("seamgraph").getOrCreate()
+    return ship(SparkSession.getActiveSession() or SparkSession.builder.appName("seamgraph").getOrCreate())
 
 
 class Index:
