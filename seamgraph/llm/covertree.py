@@ -114,11 +114,12 @@ def dual(a: Tree, b: Tree, cosine: float, same: bool) -> tuple[np.ndarray, np.nd
         for lo in range(0, len(p), 4096):
             w, child_a = a.below(k, p[lo : lo + 4096])
             parts = q[lo : lo + 4096][w]
+            own = same & (p[lo : lo + 4096][w] == parts)  # children of one node pair up once
             for s in range(0, len(w), 2048):
                 v, child_b = b.below(k, parts[s : s + 2048])
                 x, y = child_a[s : s + 2048][v], child_b
                 if same:
-                    keep = x <= y
+                    keep = ~own[s : s + 2048][v] | (x <= y)
                     x, y = x[keep], y[keep]
                 for at in range(0, len(x), 1 << 21):
                     xs, ys = x[at : at + (1 << 21)], y[at : at + (1 << 21)]
