@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, packed
 
 ROUNDS = 8
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -170,7 +170,7 @@ def _date(found: Column, key: Column) -> Column:
 def _email(found: Column, key: Column) -> Column:
     """The domain stays."""
     local = F.substring_index(found, "@", 1)
-    return F.concat(permuted_text(local, local, key, "email"), F.substr(found, F.length(local) + 1, F.length(found)))
+    return F.concat(permuted_text(local, F.repeat(F.lit("-"), F.length(local)), key, "email"), F.substr(found, F.length(local) + 1, F.length(found)))
 
 
 _NEW = {"email": _email, "ip": _ip, "date": _date, "phone": _phone, "ssn": _ssn, "card": _card}
@@ -199,7 +199,7 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     none = F.array().cast("array<struct<kind:string,new:string>>")
     some = F.regexp_like(text, F.lit(ANY))
     found = F.when(some, F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda x: _pseudonym(x, secret))).otherwise(none)
-    rows = docs.select(F.struct(*cols).alias("_row")).withColumn("_finds", found)
+    rows = docs.select(packed(docs, cols)).withColumn("_finds", found)
     joined = F.array_join(
         F.transform(F.arrays_zip(F.split(text, ANY, -1).alias("gap"), F.col("_finds").alias("f")), lambda x: F.concat(x["gap"], F.coalesce(x["f"]["new"], F.lit("")))), ""
     )
