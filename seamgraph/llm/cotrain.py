@@ -123,19 +123,29 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     if not pos or not neg:
         return 1.0, 0.0, 1.0
     goal = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        h = p * (1 - p) + 1e-9
-        g = np.array([((p - goal) * z).sum() + 1e-3 * (a - 1), (p - goal).sum()])
-        hess = np.array([[(h * z * z).sum() + 1e-3, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-9]])
-        step = np.linalg.solve(hess, g)
-        a, b = a - step[0], b - step[1]
+    w = np.array([1.0, 0.0])
+
+    def loss(w):
+        m = w[0] * z + w[1]
+        return (np.logaddexp(0, m) - goal * m).sum() + 0.005 * ((w[0] - 1) ** 2 + w[1] ** 2)
+
+    for _ in range(50):  # Newton's steps, halved until they help
+        p = 1 / (1 + np.exp(-np.clip(w[0] * z + w[1], -30, 30)))
+        h = p * (1 - p)
+        g = np.array([((p - goal) * z).sum() + 0.01 * (w[0] - 1), (p - goal).sum() + 0.01 * w[1]])
+        step = np.linalg.solve(np.array([[(h * z * z).sum() + 0.01, (h * z).sum()], [(h * z).sum(), h.sum() + 0.01]]), g)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        if size <= 1e-6 or np.abs(size * step).max() < 1e-9:
+            break
+        w = w - size * step
+    a, b = w
     p = np.clip(1 / (1 + np.exp(-np.clip(a * z + b, -30, 30))), 1e-6, 1 - 1e-6)
     base = pos / len(y)
-    loss = -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+    left = -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
     best = -(base * np.log(base) + (1 - base) * np.log(1 - base))
-    return float(max(a, 0)), float(b), float(np.clip(1 - loss / best, 0, 1))
+    return float(max(a, 0)), float(b), float(np.clip(1 - left / best, 0, 1))
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, most: int):
