@@ -63,6 +63,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def packed(df: DataFrame, cols: list[str] | None = None) -> Column:
+    """df's columns as one struct, so that their names can't clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`").alias(c) for c in (df.columns if cols is None else cols)]).alias("_row")
+
+
 def spans(text: Column, pattern: str, group: int | None = None) -> Column:
     """All matches of pattern, leftmost and not overlapping, as array of (start, end, found[, part]): code
     points, end exclusive; part is the group's text. The pattern must not match the empty string."""

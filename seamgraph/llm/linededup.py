@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, packed
 
 #: Least length of a run, in lines that hold a word.
 MIN_RUN = 3
@@ -76,7 +76,7 @@ def line_dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     cols = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(text).alias("h")]
-    out = docs.select(F.struct(*cols).alias("_row"), *key).join(repeated_runs(docs, min_run), ["id", "h"], "left")
+    out = docs.select(packed(docs, cols), *key).join(repeated_runs(docs, min_run), ["id", "h"], "left")
     raw = F.col("_row.text").cast("string")
 
     def cut(lines: Column) -> Column:

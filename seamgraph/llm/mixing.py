@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, n_words, words
+from .common import durable, n_words, packed, words
 
 #: Weights by the rank of the source, repeating.
 WEIGHTS = (5, 2, 1)
@@ -115,7 +115,7 @@ def plan(docs: DataFrame, weights: tuple = WEIGHTS, slopes: tuple = SLOPES, most
 
 
 def row_hash(docs: DataFrame) -> Column:
-    return F.xxhash64(*[F.col(c) for c in docs.columns]).alias("row_hash")
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_hash")
 
 
 def range_sorted(df: DataFrame, total: float, *ties: str) -> DataFrame:
@@ -141,7 +141,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     own = durable(plan(docs, **how).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_h"), F.col("nth").alias("_nth"), "taken", "size", "copies"), "plan")
     total = own.agg(F.sum("taken")).first()[0] or 0
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
-    rows = docs.select(F.struct(*cols).alias("_row"), key.alias("_key"), row_hash(docs).alias("_h"))
+    rows = docs.select(packed(docs), key.alias("_key"), row_hash(docs).alias("_h"))
     rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_key", "_h").orderBy(F.lit(1))))
     own = own.withColumn("_key", F.coalesce("_id", F.lit(0))).select("_key", "_h", "_nth", "size", "copies")
     out = rows.join(own, ["_key", "_h", "_nth"]).select("_row", "_key", "size", F.explode("copies").alias("_copy"))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, let, words
+from .common import durable, let, packed, words
 
 #: Documents that a sketch must hold to set fences.
 MIN_GROUP = 200
@@ -146,5 +146,4 @@ def quality_filter(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """The documents that the rules keep, with docs' columns."""
     cols = docs.columns
     limits = durable(fences(sketches(durable(_measured(docs, []), "measured")), min_group), "fences")
-    row = F.struct(*cols).alias("_row")
-    return _judged(_measured(docs, [row]), limits).filter("kept").select(*[F.col("_row")[c].alias(c) for c in cols])
+    return _judged(_measured(docs, [packed(docs)]), limits).filter("kept").select(*[F.col("_row")[c].alias(c) for c in cols])

@@ -16,10 +16,10 @@ holds it whole and no pair is lost.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, forget
+from .common import durable, packed
 from .components import connected_components
 
 #: Hamming distance at which fingerprints link.
@@ -49,16 +49,18 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): one row per document. A null text counts as empty: fingerprint zero."""
+    """(doc_id, h, fp): one row per document; h is the text's hash. A null text counts as empty: fingerprint
+    zero."""
 
     def go(batches):
         import pyarrow as pa
 
         for b in batches:
-            fp = [fingerprint(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            fp = [fingerprint(t.as_py()) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], ["doc_id", "h", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(go, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(go, "doc_id long, h long, fp long")
 
 
 def _cells(points: DataFrame) -> DataFrame:
@@ -192,7 +194,8 @@ def _links(cells: DataFrame, distance: int, cell_cap: int) -> DataFrame:
 
 
 def near_groups(fps: DataFrame, distance: int = DISTANCE, cell_cap: int = CELL_CAP) -> DataFrame:
-    """fps(doc_id, fp) -> (doc_id, fp, component_id): the least doc_id reachable over links between
+    """fps(doc_id, fp, ...) -> its columns, root (one per component) and
+    component_id: the least doc_id reachable over links between
     fingerprints at `distance` or fewer bits. Null doc_ids never name a component unless all are null."""
     if distance > 3:
         raise ValueError("the grid's radius holds for distances up to 3")
@@ -201,12 +204,12 @@ def near_groups(fps: DataFrame, distance: int = DISTANCE, cell_cap: int = CELL_C
     parts = connected_components(links, "fp-links")
     named = points.join(parts, points.fp == parts.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     low = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(low, "root").select("fp", "component_id")
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = named.join(low, "root").select("fp", "root", "component_id")
+    return fps.join(of, "fp").select(*fps.columns, "root", "component_id")
 
 
 def simhash_near_dups(docs: DataFrame) -> DataFrame:
-    """documents -> (doc_id, fp, component_id), one row per document.
+    """documents -> (doc_id, h, fp, root, component_id), one row per document.
 
     Null or empty texts have fingerprint zero and link like any other; repeated rows stay repeated;
     an empty table gives an empty result; extra columns are ignored."""
@@ -218,13 +221,13 @@ def hex16(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Filter: of each near-duplicate group the row of the least doc_id stays, whole; of rows that
-    repeat that doc_id in the group, the one with the least text hash. Rows whose doc_id is null go
-    unless their whole group is null."""
-    key = [F.col("doc_id").cast("long").eqNullSafe(F.col("k_id"))]
+    """Filter: of each near-duplicate group the row of the least doc_id stays, whole; if several rows have
+    that doc_id, the one with the least hash of its text, then of all its columns. A null doc_id comes last."""
     groups = simhash_near_dups(docs)
-    win = groups.select("component_id").distinct().select(F.col("component_id").alias("k_id"))
-    kept = docs.join(win, key[0], "left_semi")
-    cols = [c for c in docs.columns]
-    first = F.min_by(F.struct(*cols), F.xxhash64(*cols)).alias("r")
-    return kept.groupBy(F.col("doc_id").alias("g")).agg(first).select("r.*")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "h")).alias("m")
+    wins = groups.groupBy("root").agg(first).select(F.coalesce("m.doc_id", F.lit(0)).alias("_id"), F.col("m.h").alias("_h")).distinct()
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_h")]
+    every = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all")
+    rows = docs.select(packed(docs), *key, every).join(wins, ["_id", "_h"], "left_semi")
+    nth = F.row_number().over(Window.partitionBy("_id", "_h").orderBy("_all"))
+    return rows.withColumn("_nth", nth).filter("_nth = 1").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
