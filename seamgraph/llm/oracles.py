@@ -53,7 +53,66 @@ SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n
 FROM s LEFT JOIN j ON s.doc_id = j.doc_id
 """
 
+#: Base patterns by split and match lengths; entropy from the character counts of every window.
+OP1 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+pats AS (SELECT * FROM (VALUES
+  (0, 'assign', '(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+  (1, 'access', 'AKIA[A-Z0-9]{14,}'), (2, 'hex', '[0-9a-f]{16,}'), (3, 'candidate', '[A-Za-z0-9+/_=-]{20,}')) v(rank, kind, pat)),
+hits AS (SELECT doc_id, rank, kind, regexp_extract_all(t, pat) AS m, string_split_regex(t, pat) AS g,
+           CASE WHEN rank = 0 THEN regexp_extract_all(t, pat, 1) ELSE regexp_extract_all(t, pat) END AS part
+         FROM d, pats WHERE regexp_matches(t, pat)),
+one AS (SELECT doc_id, rank, kind, unnest(range(1, len(m) + 1)) AS i, m, g, part FROM hits),
+pos AS (SELECT doc_id, rank, kind, i, m[i] AS found, part[i] AS part,
+          sum(length(g[i]) + length(m[i])) OVER (PARTITION BY doc_id, rank ORDER BY i)::BIGINT AS e FROM one),
+sp AS (SELECT doc_id, rank, kind, found, part, e - length(found) AS s, e FROM pos),
+base AS (SELECT doc_id, rank, kind, s, e FROM sp WHERE rank < 3 AND (rank > 0 OR length(part) >= 12)),
+cand AS (SELECT doc_id, found AS c, s, regexp_matches(found, '^([0-9a-f]+|[0-9A-F]+)$') AS is_hex FROM sp WHERE rank = 3
+         AND NOT regexp_matches(found, '^[A-Za-z_=-]+$') AND NOT regexp_matches(found, '^[0-9_=+-]+$')
+         AND NOT regexp_matches(found, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$')
+         AND NOT regexp_matches(found, '^/?([A-Za-z_-]{2,}[0-9]{0,4}/)+[A-Za-z_-]*[0-9]{0,4}$')
+         AND NOT regexp_matches(found, '(?i)example|sample|placeholder|changeme|xxxx|1234567890|abcdefgh')),
+win AS (SELECT doc_id, s, is_hex, k, unnest(string_split(substring(c, k, 20), '')) AS ch
+        FROM (SELECT *, unnest(range(1, length(c) - 18)) AS k FROM cand)),
+cnt AS (SELECT doc_id, s, is_hex, k, ch, count(*) AS n FROM win GROUP BY ALL),
+ent AS (SELECT doc_id, s, is_hex, k, sum(round(n * log2(n) * 1048576)) AS parts FROM cnt GROUP BY ALL),
+mark AS (SELECT doc_id, 3 AS rank, CASE WHEN is_hex THEN 'entropy_hex' ELSE 'entropy_base64' END AS kind, s + min(k) - 1 AS s, s + max(k) - 1 + 20 AS e
+         FROM ent WHERE parts <= floor(20 * (log2(20) - CASE WHEN is_hex THEN 3.1 ELSE 3.75 END) * 1048576) GROUP BY doc_id, ent.s, is_hex),
+fresh AS (SELECT * FROM mark m WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = m.doc_id AND b.s <= m.s AND m.e <= b.e)),
+a AS (SELECT doc_id, rank, s, e, kind || ':' || s || ':' || e AS x FROM base UNION ALL SELECT doc_id, rank, s, e, kind || ':' || s || ':' || e FROM fresh),
+l AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+        coalesce(string_agg(x, ',' ORDER BY s, rank) FILTER (rank < 3), '') AS b, string_agg(x, ',' ORDER BY s, rank) AS spans FROM a GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN l ON d.doc_id = l.doc_id
+"""
+
+#: Every window of 35 words by its text.
+OP3 = r"""
+WITH a AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM a WHERE len(w) >= 35)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY t) AS n FROM g) WHERE n > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM r),
+k AS (SELECT x.doc_id, count(c.i) AS gone, coalesce(string_agg(x.w[x.i], ' ' ORDER BY x.i) FILTER (c.i IS NULL), '') AS kept
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM a) x LEFT JOIN c ON x.doc_id = c.doc_id AND x.i = c.i GROUP BY x.doc_id)
+SELECT a.doc_id, len(a.w)::BIGINT AS n_words, coalesce(k.gone, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM a LEFT JOIN k ON a.doc_id = k.doc_id
+"""
+
+#: All pairs of vectors, then everything that their links reach.
+OP4 = r"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.9),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS m FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.m AS component_id, vec_id = c.m AS kept
+FROM embeddings JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a
+"""
+
 SQL: dict[str, str] = {
+    "op1_secret_scan": OP1,
     "op2_quality_rules": OP2,
+    "op3_substring_dedup": OP3,
+    "op4_embedding_near_dedup": OP4,
     "op6_line_dedup": OP6,
 }
