@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import digests, graph, joins, paging
+from ..operators import digests, enrich, graph, joins, paging
 from .projection import SQL_EDGES, SQL_NODES, SQL_OPEN, graph_edges, graph_nodes, open_edges, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -291,6 +291,24 @@ def diff_counts(s, d):
     return got.agg(F.count(F.when(F.col("state").isin("added", "changed"), 1)).alias("added"), F.count(F.when(F.col("state").isin("removed", "changed"), 1)).alias("removed"))
 
 
+@_register(
+    """WITH e AS (SELECT 'e' || o_orderkey AS id, 'o' || o_orderkey AS source, 'c' || o_custkey AS target, 'Call' AS kind, 'f' || o_custkey % 10 AS file, o_orderkey::INT AS start FROM orders),
+    f AS (SELECT source, file, kind, start, target AS old, unnest([target, 'c' || (start % 7), 'c1']) AS target FROM e WHERE start % 20 = 0)
+    SELECT id, source, target, NULL AS basis FROM e UNION ALL
+    SELECT DISTINCT sha256('["' || source || '","' || file || '","' || kind || '",' || start || ',"' || target || '","compiler_projection"]'), source, target, 'compiler_projection' FROM f WHERE old <> target"""
+)
+def compiler_target_projection(s, d):
+    o = table(s, d, "orders")
+    text = lambda c: c.cast("string")
+    edges = o.select(
+        F.concat(F.lit("e"), text(F.col("o_orderkey"))).alias("id"), F.concat(F.lit("o"), text(F.col("o_orderkey"))).alias("source"),
+        F.concat(F.lit("c"), text(F.col("o_custkey"))).alias("target"), F.lit("Call").alias("kind"), F.lit("Resolved").alias("resolution"),
+        F.concat(F.lit("f"), text(F.col("o_custkey") % 10)).alias("file"), F.col("o_orderkey").cast("int").alias("start"),
+    )
+    seen = edges.filter("start % 20 = 0").select("file", "kind", "start", F.array("target", F.concat(F.lit("c"), text(F.col("start") % 7)), F.lit("c1")).alias("compiler_targets"))
+    return enrich.project_targets(edges, seen).select("id", "source", "target", "basis")
+
+
 # ---- sort, limit, pages
 
 
