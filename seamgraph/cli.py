@@ -12,44 +12,55 @@ from .index import RULE_KEYS, Index
 from .model import EvidenceError, Limits, PacketLimits, SourceFileRef, SymbolRef, TypeRef, canonical, fail
 
 REFS = {"file": SourceFileRef, "symbol": SymbolRef, "type": TypeRef}
-_OPERATIONS = {
-    "index": "create rebuild status update verify", "inspect": "file symbol type", "packet": "build",
-    "query": "dependencies dependents effects owners reads revision symbols writes",
-}
+#: command: positional words, then options; =n is a whole number's default, ! marks what must be given.
+_COMMANDS = """
+index create: index root --repository! --file-bytes={file} --repository-bytes={repository} --rules
+index update: index --rules
+index rebuild: index --rules
+index status: index
+index verify: index
+inspect symbol: index subject
+inspect file: index subject
+inspect type: index subject
+query symbols: index subject
+query effects: index subject
+query reads: index subject
+query writes: index subject
+query revision: index subject
+query dependencies: index subject --subject-kind
+query dependents: index subject --subject-kind
+query owners: index subject --subject-kind
+packet build: index subject --subject-kind --max-bytes={bytes} --depth={depth} --max-source-bytes={source} --continuation
+diff: index previous --limit=128 --continuation
+doctor: index
+stats: index
+"""
 
 
 def _parser() -> argparse.ArgumentParser:
+    defaults = dict(
+        file=Limits.file_bytes, repository=Limits.repository_bytes, bytes=PacketLimits.max_bytes, depth=PacketLimits.max_depth,
+        source=PacketLimits.max_source_bytes,
+    )
     top = argparse.ArgumentParser(prog="seamgraph")
-    commands = top.add_subparsers(dest="command", required=True)
-    for command, names in _OPERATIONS.items():
-        below = commands.add_parser(command).add_subparsers(dest="operation", required=True)
-        for name in names.split():
-            p = below.add_parser(name)
-            p.add_argument("index")
-            if command != "index":
-                p.add_argument("subject")
-            elif name in ("create", "rebuild", "update"):
-                p.add_argument("--rules", help="a JSON file of analysis rules, 1 MiB at most")
-            if name == "create":
-                p.add_argument("root")
-                p.add_argument("--repository", required=True)
-                p.add_argument("--repository-bytes", type=int, default=Limits.repository_bytes)
-                p.add_argument("--file-bytes", type=int, default=Limits.file_bytes)
-            kinds = ["symbol", "file"] + ["type"] * (command == "query")
-            if command == "packet" or name in ("dependencies", "dependents", "owners"):
-                p.add_argument("--subject-kind", choices=kinds, default="symbol")
-            if command == "packet":
-                p.add_argument("--depth", type=int, default=PacketLimits.max_depth)
-                p.add_argument("--max-bytes", type=int, default=PacketLimits.max_bytes)
-                p.add_argument("--max-source-bytes", type=int, default=PacketLimits.max_source_bytes)
-                p.add_argument("--continuation", help="the JSON continuation of the page before")
-    for command in ("stats", "doctor", "diff"):
-        p = commands.add_parser(command)
-        p.add_argument("index")
-        if command == "diff":
-            p.add_argument("previous")
-            p.add_argument("--continuation", help="the JSON continuation of the page before")
-            p.add_argument("--limit", type=int, default=128)
+    commands, groups = top.add_subparsers(required=True, dest="command"), {}
+    for line in _COMMANDS.format(**defaults).strip().splitlines():
+        names, _, words = line.partition(":")
+        group, *rest = names.split()
+        if not rest:
+            p = commands.add_parser(group)
+        else:
+            if group not in groups:
+                groups[group] = commands.add_parser(group).add_subparsers(required=True, dest="operation")
+            p = groups[group].add_parser(rest[0])
+        for word in words.split():
+            name, _, number = word.rstrip("!").partition("=")
+            how = {"type": int, "default": int(number)} if number else {}
+            if name == "--subject-kind":
+                how = {"choices": [k for k in REFS if group == "query" or k != "type"], "default": "symbol"}
+            elif word.endswith("!"):
+                how = {"required": True}
+            p.add_argument(name, **how)
     return top
 
 
@@ -124,20 +135,18 @@ def main(argv: list[str] | None = None) -> int:
 def observe_main(argv: list[str] | None = None) -> int:
     top = argparse.ArgumentParser(prog="seamgraph-observe")
     kinds = top.add_subparsers(dest="kind", required=True)
-    for kind in ("folder", "workbook", "resource"):
+    flags = dict(
+        resource={"--configuration": Path, "--resource-ref": str}, workbook={"--root": Path, "--source": Path}, folder={"--root": Path, "--source": Path}
+    )
+    for kind, needed in flags.items():
         p = kinds.add_parser(kind).add_subparsers(dest="operation", required=True).add_parser("observe")
-        if kind == "resource":
-            p.add_argument("--configuration", required=True, type=Path)
-            p.add_argument("--resource-ref", required=True)
-            continue
-        p.add_argument("--root", required=True, type=Path)
-        p.add_argument("--source", required=True, type=Path)
+        for flag, read in needed.items():
+            p.add_argument(flag, required=True, type=read)
         if kind == "folder":
-            p.add_argument("--maximum-entries", type=int, default=4096)
-            p.add_argument("--include-entry-paths", action="store_true")
-            p.add_argument("--exclude-directory", action="append", default=[])
-        else:
-            p.add_argument("--include-labels", action="store_true")
+            for flag, how in {"--maximum-entries": dict(default=4096, type=int), "--exclude-directory": dict(default=[], action="append")}.items():
+                p.add_argument(flag, **how)
+        if kind != "resource":
+            p.add_argument({"folder": "--include-entry-paths", "workbook": "--include-labels"}[kind], action="store_true")
     a = top.parse_args(argv)
     try:
         if a.kind == "folder":
@@ -150,7 +159,7 @@ def observe_main(argv: list[str] | None = None) -> int:
         else:
             value = observations.observe_resource(a.configuration, a.resource_ref)
     except observations.ObservationError as why:
-        body = {"schema_version": observations.SCHEMA_VERSION, "kind": "source/observation/error", "code": why.code, "detail": why.detail}
+        body = dict(detail=why.detail, code=why.code, kind="source/observation/error", schema_version=observations.SCHEMA_VERSION)
         print(json.dumps(body, sort_keys=True), file=sys.stderr)
         return 2
     print(json.dumps(value, sort_keys=True, ensure_ascii=False))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Numbers that could be credentials: hexadecimal ones, and six digits or more.
-LONG_NUMBER = r"\b(?:0x[0-9a-fA-F]+|[0-9]{6,})\b"
+LONG_NUMBER = r"\b(?:[0-9]{6,}|0x[a-fA-F0-9]+)\b"
 
 
 def line_count(text: Column) -> Column:
@@ -25,7 +25,7 @@ def masked(text: Column, sign: str = "#") -> Column:
 
 def column_number(reference: Column) -> Column:
     """A cell reference's column, base 26; null if it is none."""
-    letters = F.regexp_extract(F.upper(reference), r"^\$?([A-Z]+)\$?[1-9][0-9]*$", 1)
+    letters = F.regexp_extract(F.upper(reference), r"^[$]?([A-Z]+)[$]?[1-9][0-9]*$", 1)
     chars = F.filter(F.split(letters, ""), lambda c: c != "")
     value = F.aggregate(F.transform(chars, lambda c: F.ascii(c) - 64), F.lit(0), lambda acc, c: acc * 26 + c)
     return F.when(letters != "", value)

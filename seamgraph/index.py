@@ -22,7 +22,9 @@ from .plans import build
 from .sources import adapters
 from .sources import inventory as trees
 
-RULE_KEYS = {"version", "effects", "rust_compiler", "typescript_compiler"}
+COMPILERS = ("typescript_compiler", "rust_compiler")
+RULE_KEYS = {"effects", "version", *COMPILERS}
+TABLE_OF = {TypeRef: "types", SymbolRef: "symbols", SourceFileRef: "files"}
 LOCKS = ("package-lock.json", "pnpm-lock.yaml", "Cargo.lock")
 
 
@@ -55,7 +57,7 @@ class Index:
         path = Path(path)
         if path.exists():
             fail("PublicationConflict", "the path exists")
-        return cls._build(path, root, repository, limits, rules or {}, None, failpoint, False)
+        return cls._build(None, path, tree=root, name=repository, limits=limits, rules=rules or {}, failpoint=failpoint)
 
     @classmethod
     def open_existing(cls, path, verify: bool = True) -> "Index":
@@ -70,7 +72,9 @@ class Index:
     def update(cls, path, rules: dict | None = None, failpoint: str | None = None, rebuild: bool = False) -> "Index":
         old = cls.open_existing(path)
         m = old.meta
-        return cls._build(old.path, m["root"], m["repository"], old.limits, m["rules"] if rules is None else rules, old, failpoint, rebuild)
+        return cls._build(
+            old, old.path, tree=m["root"], name=m["repository"], limits=old.limits, rules=m["rules"] if rules is None else rules, failpoint=failpoint, rebuild=rebuild
+        )
 
     def verify(self) -> None:
         """The sealed digest and every reference hold."""
@@ -85,16 +89,16 @@ class Index:
         snapshot.validate(self.t)
 
     @classmethod
-    def _build(cls, path, root, repository, limits, rules, old, failpoint, rebuild) -> "Index":
+    def _build(cls, old, path, *, tree, name, limits, rules, failpoint=None, rebuild=False) -> "Index":
         spark, began = session(), time.monotonic()
         limits.check()
         if limits.parallel_parsers != 1 or limits.queue_depth != 1:
             fail("ResourceLimitExceeded", "the bounds on parsers are fixed at one")
-        if not isinstance(repository, str) or not 0 < len(repository) <= 200:
+        if not isinstance(name, str) or not 0 < len(name) <= 200:
             fail("InvalidEvidence", "repository identity")
         if not isinstance(rules, dict) or set(rules) - RULE_KEYS:
             fail("InvalidEvidence", "rule keys")
-        for tool in ("rust_compiler", "typescript_compiler"):
+        for tool in COMPILERS:
             if rules.get(tool):
                 fail("AnalyzerUnavailable", tool)
 
@@ -102,12 +106,12 @@ class Index:
             if failpoint == at:
                 fail(code, f"injected: {at}")
 
-        root = trees.real_directory(root)
+        root = trees.real_directory(tree)
         paths, findings = trees.inventory(root, limits)
         if any(f["code"] == "UnsafePath" for f in findings):
             fail("UnsafePath", "the tree holds links or special files")
-        roots = trees.boundaries(root, [p for p, _ in paths], repository)
-        root_ref = RepositoryRef.of(repository).value
+        roots = trees.boundaries(root, [p for p, _ in paths], name)
+        root_ref = RepositoryRef.of(name).value
         everything = build.places(paths, trees.manifests(root, paths, limits), roots, root_ref)
         live = {r["path"]: r["digest"] for r in trees.source_tree(spark, root, limits).select("path", "digest").collect()}
         same = cls._unchanged(old, everything, live) if old and not rebuild else set()
@@ -152,18 +156,18 @@ class Index:
             if frames["edges"].count() > limits.edges:
                 fail("ResourceLimitExceeded", "edges")
             again = {r["path"]: r["digest"] for r in trees.source_tree(spark, root, limits).select("path", "digest").collect()}
-            if again != live or trees.boundaries(root, [p for p, _ in paths], repository) != roots:
+            if again != live or trees.boundaries(root, [p for p, _ in paths], name) != roots:
                 fail("SourceChangedDuringAnalysis", "the tree changed while it was read")
             if adapters.implementation() != adapters.IMPLEMENTATION:
                 fail("SourceChangedDuringAnalysis", "the analyzer changed while it ran")
             meta = {
-                "format": FORMAT, "package_version": VERSION, "root": str(root), "repository": repository, "repository_ref": root_ref,
-                "repository_roots": roots, "packages": {p.owner: p.manifest for p in everything}, "limits": dataclasses.asdict(limits),
-                "rules": rules, "findings": findings,
+                "repository": name, "repository_roots": roots, "repository_ref": root_ref, "root": str(root), "limits": dataclasses.asdict(limits),
+                "packages": {p.owner: p.manifest for p in everything}, "findings": findings, "rules": rules, "package_version": VERSION,
                 "measurements": {
-                    "files_analyzed": len(fresh), "files_reresolved": resolved, "publication_mode": "incremental" if incremental else "reconstruction",
-                    "rust_compiler": {}, "typescript_compiler": {}, "duration_seconds": time.monotonic() - began,
+                    "duration_seconds": time.monotonic() - began, "files_reresolved": resolved, "files_analyzed": len(fresh),
+                    "publication_mode": ("reconstruction", "incremental")[incremental], **{tool: {} for tool in COMPILERS},
                 },
+                "format": FORMAT,
             }
             meta["digest"] = snapshot.seal(frames, meta)
             snapshot.validate(frames)
@@ -191,11 +195,12 @@ class Index:
     # ---- lookups
 
     def _rows(self, df: DataFrame, order: str = "id", limit: int | None = None) -> list[dict]:
-        limit = self.limits.result_size if limit is None else limit
-        if not 0 <= limit <= self.limits.result_size:
+        most = self.limits.result_size
+        n = most if limit is None else limit
+        if n < 0 or n > most:
             fail("ResourceLimitExceeded", "result bound")
         try:
-            return [r.asDict(recursive=True) for r in paging.at_most(df, limit, order)]
+            return [r.asDict(recursive=True) for r in paging.at_most(df, n, order)]
         except paging.Overflow:
             fail("ResourceLimitExceeded", "ask for less")
 
@@ -224,7 +229,7 @@ class Index:
         return {k: row[k] for k in ("id", "path", "language", "owner", "digest", "adapter")}
 
     def source_evidence(self, subject: Ref) -> dict:
-        if isinstance(subject, SymbolRef):
+        if type(subject) is SymbolRef:
             return self.symbol(subject)
         _need(subject, SourceFileRef)
         f = self._one("files", "id", subject.value, "no such file")
@@ -234,8 +239,8 @@ class Index:
         )
 
     def _known(self, subject: Ref) -> None:
-        table = {SymbolRef: "symbols", SourceFileRef: "files", TypeRef: "types"}.get(type(subject))
-        if table is None or self.t[table].filter(F.col("id") == subject.value).limit(1).isEmpty():
+        where = TABLE_OF.get(type(subject))
+        if not where or self.t[where].filter(F.col("id") == subject.value).limit(1).isEmpty():
             fail("InvalidEvidence", "the subject isn't indexed")
 
     def dependencies_of(self, subject: Ref) -> list[dict]:
@@ -251,14 +256,14 @@ class Index:
         return [{k: v for k, v in e.items() if k != "file"} for e in self._rows(self.t["effects"].filter(F.col("source") == subject.value))]
 
     def reads_of(self, subject: Ref) -> list[dict]:
-        return [e for e in self.effects_of(subject) if e["kind"] in (Effect.READ, Effect.RECEIPT_READ)]
+        return list(filter(lambda e: e["kind"] in (Effect.READ, Effect.RECEIPT_READ), self.effects_of(subject)))
 
     def writes_of(self, subject: Ref) -> list[dict]:
-        return [e for e in self.effects_of(subject) if e["kind"] == Effect.RECEIPT_WRITE or e["kind"].startswith("WRITE")]
+        return list(filter(lambda e: e["kind"].startswith("WRITE") or e["kind"] == Effect.RECEIPT_WRITE, self.effects_of(subject)))
 
     def owners_of(self, subject: Ref) -> dict:
         self._known(subject)
-        table = {SymbolRef: "symbols", TypeRef: "types"}.get(type(subject))
+        table = None if type(subject) is SourceFileRef else TABLE_OF[type(subject)]
         files = self.t["files"].select(F.col("id").alias("fid"), "owner")
         if table:
             mine = self.t[table].filter(F.col("id") == subject.value).select(F.col("file").alias("fid"))
@@ -303,18 +308,21 @@ class Index:
                 beyond |= set(found)
             front = list(found)
         partial |= bool(beyond - set(seen))
-        return {"status": "Partial" if partial else "Complete", "subjects": sorted(seen), "edges": [edges[k] for k in sorted(edges)]}
+        return dict(edges=[edges[k] for k in sorted(edges)], subjects=sorted(seen), status=("Complete", "Partial")[partial])
 
     def transitive_dependencies(self, subject: Ref, max_depth: int = 4, max_nodes: int = 256, max_edges: int = 1024) -> dict:
-        self._known(subject)
-        return self._traverse([subject.value], False, max_depth, max_nodes, max_edges)
+        return self._from(subject, False, (max_depth, max_nodes, max_edges))
 
     def transitive_dependents(self, subject: Ref, max_depth: int = 4, max_nodes: int = 256, max_edges: int = 1024) -> dict:
-        self._known(subject)
-        return self._traverse([subject.value], True, max_depth, max_nodes, max_edges)
+        return self._from(subject, True, (max_depth, max_nodes, max_edges))
 
     def affected_by(self, changed_refs, max_depth: int = 8, max_nodes: int = 4096, max_edges: int = 4096) -> dict:
-        return self._traverse([r.value for r in changed_refs], True, max_depth, max_nodes, max_edges)
+        bounds = max_depth, max_nodes, max_edges
+        return self._traverse([c.value for c in changed_refs], True, *bounds)
+
+    def _from(self, subject: Ref, reverse: bool, bounds: tuple[int, int, int]) -> dict:
+        self._known(subject)
+        return self._traverse([subject.value], reverse, *bounds)
 
     # ---- evidence
 
@@ -323,8 +331,8 @@ class Index:
         own = self.source_evidence(subject)
         top = self.limits.result_size
         forward = self.transitive_dependencies(subject, self.limits.traversal_depth, top, top)
-        reverse = self.dependents_of(subject)
-        ids = sorted(set(forward["subjects"]) | {e["source"] for e in reverse})
+        users = self.dependents_of(subject)
+        ids = sorted({e["source"] for e in users}.union(forward["subjects"]))
         inputs, files = {}, set()
         for table in ("symbols", "types"):
             for row in self._among(table, "id", ids):
@@ -362,10 +370,11 @@ class Index:
             effects = digest(self.effects_of(subject))
         else:
             effects = digest({"source": own["body_digest"], "resolution": "Unresolved"})
-        return {
-            "subject": subject.value, "inputs": inputs, "rules": digest(self.meta["rules"]), "dependencies": digest(forward["edges"]),
-            "reverse": digest(reverse), "effects": effects, "complete": forward["status"] == "Complete",
-            "resolution_complete": not own["missing"] and {e["resolution"] for e in forward["edges"]} <= {"Resolved"},
+        hows = {e["resolution"] for e in forward["edges"]}
+        parts = {"effects": effects, "reverse": digest(users), "dependencies": digest(forward["edges"]), "rules": digest(self.meta["rules"])}
+        return parts | {
+            "resolution_complete": hows <= {"Resolved"} and not own["missing"], "complete": forward["status"] != "Partial",
+            "inputs": inputs, "subject": subject.value,
         }
 
     def _among(self, table: str, key: str, values: list[str], also=None) -> list[dict]:
@@ -377,7 +386,8 @@ class Index:
         return self._rows(rows if also is None else rows.filter(also))
 
     def evidence_digest(self, subject: Ref) -> str:
-        return digest(self.evidence_revision(subject))
+        revision = self.evidence_revision(subject)
+        return digest(revision)
 
     def build_packet(self, subject: Ref, limits: PacketLimits = PacketLimits(), continuation: dict | None = None) -> dict:
         return packets.build(self, subject, limits, continuation, (), ())
@@ -386,13 +396,15 @@ class Index:
         _need(request, EvidenceRequest)
         if not all(isinstance(r, Relation) for r in request.relations) or not all(isinstance(e, Effect) for e in request.effects):
             fail("InvalidEvidence", "selectors are relations and effects")
-        return packets.build(self, request.subject, request.limits, continuation, request.relations, request.effects)
+        r = request
+        return packets.build(self, r.subject, r.limits, continuation, r.relations, r.effects)
 
     def assess(self, subject: Ref, required_effects=(), required_targets=()) -> dict:
         """What of the required evidence is not there. Never a permission."""
-        effects = {e["kind"] for e in self.effects_of(subject)} - {"UNKNOWN"}
-        hit = {e["target"] for e in self.dependencies_of(subject) if e["resolution"] == "Resolved"}
-        missing = [f"effect:{e}" for e in required_effects if e not in effects] + [f"target:{t.value}" for t in required_targets if t.value not in hit]
+        there = {f"effect:{e['kind']}" for e in self.effects_of(subject) if e["kind"] != Effect.UNKNOWN}
+        there |= {f"target:{e['target']}" for e in self.dependencies_of(subject) if e["resolution"] == "Resolved"}
+        asked = [f"effect:{e}" for e in required_effects] + [f"target:{t.value}" for t in required_targets]
+        missing = [a for a in asked if a not in there]
         return dict(status="NeedEvidence" if missing else "Observed", missing=missing, evidence_digest=self.evidence_digest(subject), authority=False)
 
     # ---- state
@@ -401,7 +413,7 @@ class Index:
         return dict(format=FORMAT, digest=self.meta["digest"], repository=self.meta["repository"], read_only=True)
 
     def stats(self) -> dict:
-        out = {t: self.t[t].count() for t in ("files", "symbols", "types", "edges", "effects")} | self.meta["measurements"]
+        out = {t: self.t[t].count() for t in snapshot.TABLES if t != "packages"} | self.meta["measurements"]
         per = lambda t, c: {r[0]: r[1] for r in self.t[t].groupBy(c).count().collect()}  # noqa: E731  as many rows as there are kinds
         out["language_distribution"], out["edge_resolution"] = per("files", "language"), per("edges", "resolution")
         out["index_bytes"] = sum(p.stat().st_size for p in self.at.rglob("*") if p.is_file())
@@ -414,7 +426,7 @@ class Index:
         paths, refused = trees.inventory(root, self.limits)
         found += refused
         if trees.boundaries(root, [p for p, _ in paths], self.meta["repository"]) != self.meta["repository_roots"]:
-            found.append({"code": "StaleIndex", "detail": "repository boundaries"})
+            found.append(_stale(detail="repository boundaries"))
         live = trees.source_tree(self.spark, root, self.limits).select("path", "language", F.col("digest").alias("now"))
         stored = self.t["files"].select("path", F.col("digest").alias("then"), "adapter")
         both = live.join(stored, "path", "full_outer").filter("now IS NULL OR then IS NULL OR now <> then OR adapter IS NOT NULL")
@@ -422,11 +434,11 @@ class Index:
         for r in both.orderBy("path").collect():  # as many rows as files, which the limits bound
             differs |= r["now"] is None or r["then"] is None
             if r["now"] is not None and r["now"] != r["then"]:
-                stale.append({"code": "StaleIndex", "path": r["path"]})
+                stale.append(_stale(path=r["path"]))
             if r["now"] is not None and r["adapter"] is not None and r["adapter"] != canonical(adapters.provenance(r["language"])):
-                stale.append({"code": "StaleIndex", "path": r["path"], "detail": "analyzer changed"})
+                stale.append(_stale(path=r["path"], detail="another analyzer"))
         if differs:
-            found.append({"code": "StaleIndex", "detail": "inventory"})
+            found.append(_stale(detail="inventory"))
         return found + stale + [{"code": "UnsupportedDynamicResolution", "detail": "syntax alone proves no dispatch"}]
 
     def diff(self, previous: "Index", limit: int = 128, continuation: dict | None = None) -> dict:
@@ -434,7 +446,7 @@ class Index:
         if not 1 <= limit <= self.limits.result_size:
             fail("ResourceLimitExceeded", "page size")
         pair = [previous.meta["digest"], self.meta["digest"]]
-        if continuation and continuation.get("baselines") != pair:
+        if continuation and pair != continuation.get("baselines"):
             fail("StaleIndex", "the page belongs to other snapshots")
         after = (continuation or {}).get("after", "")
         if not isinstance(after, str):
@@ -462,6 +474,10 @@ def _counts(old: DataFrame, new: DataFrame) -> dict:
     return {"added": states[0], "removed": states[1]}
 
 
+def _stale(**what) -> dict:
+    return dict(code="StaleIndex", **what)
+
+
 def _need(value, kind: type) -> None:
     if not isinstance(value, kind):
         fail("InvalidEvidence", f"{kind.__name__} needed")

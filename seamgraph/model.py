@@ -9,6 +9,7 @@ from enum import StrEnum
 
 VERSION = "1.0.0"
 FORMAT = "seamgraph/evidence/1"
+_TIGHT = (",", ":")
 
 
 def _names(kind: str, words: str) -> type[StrEnum]:
@@ -49,11 +50,11 @@ def fail(code: str, detail: str = "") -> None:
 
 
 def canonical(value) -> str:
-    return json.dumps(value, allow_nan=False, ensure_ascii=True, separators=(",", ":"), sort_keys=True)
+    return json.dumps(value, sort_keys=True, allow_nan=False, separators=_TIGHT)
 
 
 def digest(value) -> str:
-    raw = value if isinstance(value, bytes) else canonical(value).encode()
+    raw = canonical(value).encode() if type(value) is not bytes else value
     return hashlib.sha256(raw).hexdigest()
 
 

@@ -7,15 +7,17 @@ import json
 import os
 import re
 import stat
-import zipfile
 from collections import Counter
 from pathlib import Path, PurePosixPath
 from xml.etree import ElementTree
+from zipfile import BadZipFile, ZipFile
 
 SCHEMA_VERSION = "0.10.0"
 FILE_BYTES = 64 << 20
-_SHEET_NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_LINK_NS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+_TIGHT = (",", ":")
+_OOXML = "http://schemas.openxmlformats.org"
+_SHEET_NS = f"{{{_OOXML}/spreadsheetml/2006/main}}"
+_LINK_NS = f"{{{_OOXML}/officeDocument/2006/relationships}}"
 
 
 class ObservationError(ValueError):
@@ -32,7 +34,7 @@ def _need(ok, code: str, detail: str) -> None:
 
 
 def _sealed(body: dict) -> dict:
-    text = json.dumps(body, separators=(",", ":"), sort_keys=True, ensure_ascii=False)
+    text = json.dumps(body, sort_keys=True, ensure_ascii=False, separators=_TIGHT)
     return body | {"observation_digest_sha256": hashlib.sha256(text.encode()).hexdigest()}
 
 
@@ -79,7 +81,7 @@ def observe_folder(root, source, *, maximum_entries=4096, maximum_file_bytes=FIL
     entries, skipped = [], 0
     for here, dirs, files in os.walk(folder):
         skipped += len(skip.intersection(dirs))
-        dirs[:] = sorted(d for d in dirs if d not in skip)
+        dirs[:] = sorted(set(dirs) - skip)
         for name in [*dirs, *sorted(files)]:
             path = Path(here, name)
             kind, size, sha = _entry(path, maximum_file_bytes)
@@ -98,7 +100,7 @@ def observe_folder(root, source, *, maximum_entries=4096, maximum_file_bytes=FIL
 
 def column_number(reference: str) -> int | None:
     """Base 26: A is 1, AZ 52; None if the reference is none."""
-    hit = re.fullmatch(r"\$?([A-Z]+)\$?[1-9]\d*", reference.upper())
+    hit = re.fullmatch(r"[$]?([A-Z]+)[$]?[1-9]\d*", reference.upper())
     if not hit:
         return None
     n = 0
@@ -108,7 +110,7 @@ def column_number(reference: str) -> int | None:
 
 
 class _Book:
-    def __init__(self, archive: zipfile.ZipFile, most: int):
+    def __init__(self, archive: ZipFile, most: int):
         self.archive, self.most = archive, most
 
     def part(self, name: str) -> ElementTree.Element:
@@ -134,8 +136,8 @@ def observe_workbook(
     _need(book.suffix.lower() in (".xlsm", ".xlsx"), "unsupported-workbook", "an .xlsx or .xlsm file is needed")
     sha = _hash_of(book, maximum_file_bytes)
     try:
-        archive = zipfile.ZipFile(book)
-    except (OSError, zipfile.BadZipFile):
+        archive = ZipFile(book)
+    except (OSError, BadZipFile):
         raise ObservationError("invalid-workbook", "not a workbook") from None
     with archive:
         members = archive.infolist()
@@ -187,7 +189,8 @@ def observe_resource(configuration, resource_ref: str) -> dict:
     hits = [r for r in document["resources"] if isinstance(r, dict) and r.get("resource_ref") == resource_ref]
     _need(len(hits) == 1, "resource-not-selected", "exactly one resource must match")
     chosen, must = hits[0], {"root", "source", "kind", "resource_ref"}
-    may = {"excluded_directory_names", "maximum_entries"} if chosen.get("kind") == "folder" else set()
+    folder = chosen.get("kind") == "folder"
+    may = {"excluded_directory_names", "maximum_entries"} if folder else set()
     _need(must <= chosen.keys() <= must | may and chosen["kind"] in ("workbook", "folder"), bad, "resource fields")
     _need(all(isinstance(chosen[k], str) for k in must), bad, "resource values")
     if chosen["kind"] == "folder":

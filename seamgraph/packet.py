@@ -7,7 +7,7 @@ selection that it belongs to; it grants nothing.
 
 from __future__ import annotations
 
-from .model import SourceFileRef, SymbolRef, TypeRef, canonical, digest, fail
+from .model import Relation, SourceFileRef, SymbolRef, TypeRef, canonical, digest, fail
 
 #: Bytes kept free for what is added after the items.
 RESERVE, SOURCE_RESERVE = 768, 1024
@@ -21,7 +21,7 @@ def _resumed(continuation: dict | None, subject: str, fingerprint: str, selectio
     if [continuation.get(k) for k in ("subject", "digest", "selection")] != [subject, fingerprint, selection]:
         fail("StaleIndex", "the continuation is of another packet")
     positions, offset = dict(continuation.get("positions", {})), continuation.get("source_offset", 0)
-    if any(type(n) is not int or n < 0 for n in (offset, *positions.values())):
+    if not all(type(n) is int and n >= 0 for n in (offset, *positions.values())):
         fail("InvalidEvidence", "continuation places")
     return positions, offset
 
@@ -73,10 +73,9 @@ class _Page:
 
 def build(index, subject, limits, continuation, relations, effects) -> dict:
     limits.check()
-    own = index.source_evidence(subject)
-    revision = index.evidence_revision(subject)
-    fingerprint = digest(revision)
-    selection = digest([[str(r) for r in relations], [str(e) for e in effects], limits.max_depth])
+    own, revision = index.source_evidence(subject), index.evidence_revision(subject)
+    asked = [list(map(str, relations)), list(map(str, effects)), limits.max_depth]
+    fingerprint, selection = digest(revision), digest(asked)
     start, offset = _resumed(continuation, subject.value, fingerprint, selection)
 
     graph = index.transitive_dependencies(subject, max_depth=limits.max_depth)
@@ -84,15 +83,16 @@ def build(index, subject, limits, continuation, relations, effects) -> dict:
     chosen = [e for e in graph["edges"] if not wanted or e["kind"] in wanted]
     back = set(wanted) | ({"Call"} if "ReverseCall" in wanted else set())
     reverse = [e for e in index.dependents_of(subject) if not wanted or e["kind"] in back]
-    types = [index.type(TypeRef(t)) for t in sorted({e["target"] for e in chosen if e["kind"] == "TypeReference" and e["target"]})]
+    labels = {e["target"] for e in chosen if e["target"] and e["kind"] == Relation.TypeReference}
+    types = [index.type(TypeRef(t)) for t in sorted(labels)]
     is_file = isinstance(subject, SourceFileRef)
     texts = [dict(symbol=None, file=subject.value, line=1, source_digest=own["body_digest"], text=own["source"])] if is_file else []
     for s in index._among("symbols", "id", graph["subjects"]):
         texts.append(dict(symbol=s["id"], file=s["file"], line=s["line"], source_digest=s["body_digest"], text=s["source"]))
     known = index.effects_of(subject) if isinstance(subject, SymbolRef) else []
     inputs = [dict(ref=k, digest=revision["inputs"][k]) for k in sorted(revision["inputs"])]
-    described = {k: v for k, v in revision.items() if k != "inputs"}
-    described |= dict(representation="PagedInputSet", inputs_digest=digest(revision["inputs"]), input_count=len(inputs))
+    described = revision | dict(input_count=len(inputs), inputs_digest=digest(revision["inputs"]), representation="PagedInputSet")
+    del described["inputs"]
     header = {k: v for k, v in own.items() if k != "source"}
 
     packet = dict(
@@ -100,10 +100,7 @@ def build(index, subject, limits, continuation, relations, effects) -> dict:
         owner=index.owners_of(subject), symbol=None if is_file else header, source_unit=header if is_file else None, status="Complete",
         resolution=own["resolution"], missing=own["missing"], page_start=start, omitted=[], continuation=None,
     )
-    if relations:
-        packet["requested_relations"] = [str(r) for r in relations]
-    if effects:
-        packet["requested_effects"] = [str(e) for e in effects]
+    packet |= {f"requested_{k}": v for k, v in zip(("relations", "effects"), asked) if v}
     content = {
         "dependencies": (chosen, limits.max_dependencies), "reverse_dependencies": (reverse, limits.max_reverse_dependencies),
         "types": (types, limits.max_types), "effects": ([e for e in known if not effects or e["kind"] in effects], limits.max_effects),
@@ -118,12 +115,11 @@ def build(index, subject, limits, continuation, relations, effects) -> dict:
         part = items[at : at + cap]
         after[name] = at + (page.sources(part) if name == "sources" else page.plain(name, part))
         if after[name] < len(items):
-            packet["omitted"].append({"category": name, "remaining": len(items) - after[name]})
+            packet["omitted"].append(dict(remaining=len(items) - after[name], category=name))
     more = bool(packet["omitted"])
-    if graph["status"] != "Complete":
-        packet["omitted"].append({"category": "traversal", "reason": "wider bounds reach more"})
-    if packet["omitted"]:
-        packet["status"] = "Partial"
+    if graph["status"] == "Partial":
+        packet["omitted"].append(dict(reason="wider bounds reach more", category="traversal"))
+    packet["status"] = "Partial" if packet["omitted"] else "Complete"
     if more:
         packet["continuation"] = dict(subject=subject.value, digest=fingerprint, selection=selection, positions=after, source_offset=page.offset)
         if after == start and page.offset == offset:

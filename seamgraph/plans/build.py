@@ -16,7 +16,7 @@ from ..schemas import ANALYSIS
 from ..sources import adapters
 from ..sources.inventory import source_tree
 
-_BESIDE = [".ts", ".tsx", ".mts", ".cts", ".js", ".mjs", ".cjs", ".vue", ".rs", "/index.ts", "/index.js"]
+_BESIDE = [f".{s}" for s in "rs vue cjs mjs js cts mts tsx ts".split()] + [f"/index.{s}" for s in ("js", "ts")]
 
 
 @dataclasses.dataclass(frozen=True)
@@ -59,9 +59,10 @@ def candidate_paths(path: str, manifest: str | None, kind: str, name: str, modul
     if kind == "Include" or kind == "Import" and module.startswith("."):
         base = posixpath.normpath(posixpath.join(here, module))
         return [base] + [base + s for s in _BESIDE]
-    if kind == "Import" and module.startswith("crate::") and "{" not in module:
-        inner = module.split(" as ")[0].split("::")[1:-1]
-        base = posixpath.join(posixpath.dirname(manifest or ""), "src", *inner)
+    steps = module.split(" as ")[0].split("::")
+    if kind == "Import" and len(steps) > 1 and steps[0] == "crate" and "{" not in module:
+        top = posixpath.dirname(manifest or "")
+        base = posixpath.join(top, "src", *steps[1:-1])
         return [base + s for s in (".rs", "/mod.rs", "/lib.rs")]
     return [] if kind == "Import" else None
 
@@ -117,7 +118,7 @@ def resolve(analysis: DataFrame, symbols: DataFrame, limits: Limits, only: DataF
     module = F.col("binds") & F.col("kind").isin("Include", "Import", "Module")
     call = F.col("binds") & (F.col("kind") == "Call")
     plain = call & F.col("name").rlike(r"^[^\W\d]\w*$")
-    own = call & F.col("name").rlike(r"^(?:self|Self)[.:]+\w+$")
+    own = call & F.col("name").rlike(r"^[sS]elf[.:]+\w+$")
 
     # imports: their candidate paths against the files'
     paths = analysis.select("path", F.col("id").alias("hit"))

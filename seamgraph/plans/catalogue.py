@@ -139,7 +139,7 @@ def traversal_status(s, d):
     edges = graph_edges(s, d)
     got = graph.reach(edges, graph.seeds_of(s, ["o7"]), 1)
     beyond = graph.open_ends(edges, got).agg(F.count("*").alias("n"))
-    return got.agg(F.count("*").alias("subjects")).crossJoin(F.broadcast(beyond)).select(F.when(F.col("n") > 0, "Partial").otherwise("Complete").alias("status"), "subjects")
+    return got.agg(F.count("*").alias("subjects")).select(F.when(beyond.scalar() > 0, "Partial").otherwise("Complete").alias("status"), "subjects")
 
 
 @_register(
@@ -225,11 +225,9 @@ def candidate_path_join(s, d):
 )
 def interval_containment(s, d):
     x = table(s, d, "events").select("event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("sec"))
-    lo = x.agg(F.min("sec").alias("lo"))
-    spans = table(s, d, "orders").filter("o_orderkey % 5 = 0").crossJoin(F.broadcast(lo)).select(
-        F.col("o_orderkey").alias("span"), (F.col("lo") + (F.col("o_orderkey") * 977) % 2000000).alias("lo"),
-        (F.col("lo") + (F.col("o_orderkey") * 977) % 2000000 + 600 + (F.col("o_orderkey") % 50) * 60).alias("hi"),
-    )
+    lo = x.agg(F.min("sec").alias("lo")).scalar()
+    spans = table(s, d, "orders").filter("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("span"), (lo + (F.col("o_orderkey") * 977) % 2000000).alias("lo"))
+    spans = spans.withColumn("hi", F.col("lo") + 600 + (F.col("span") % 50) * 60)
     return joins.contained_in(x, "sec", spans, "lo", "hi", "span", 3600)
 
 
@@ -489,7 +487,7 @@ def line_number(s, d):
     return table(s, d, "documents").select("doc_id", T.line_count(t).alias("lines"), F.instr(t, "token").alias("at"), T.line_number(t, "token").alias("line"))
 
 
-@_register(r"SELECT doc_id, regexp_replace(text, '\b(?:0x[0-9a-fA-F]+|[0-9]{6,})\b', '#', 'g') AS masked FROM documents")
+@_register(r"SELECT doc_id, regexp_replace(text, '\b(?:[0-9]{6,}|0x[a-fA-F0-9]+)\b', '#', 'g') AS masked FROM documents")
 def numeric_mask(s, d):
     return table(s, d, "documents").select("doc_id", T.masked(F.col("text")).alias("masked"))
 

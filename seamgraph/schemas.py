@@ -22,4 +22,4 @@ ANALYSIS = (
     "id string, path string, language string, owner string, digest string, adapter string, module_source string, coverage string, "
     f"syntax_units int, missing array<string>, symbols array<{_struct(SYMBOL)}>, types array<{_struct(TYPE)}>, relations array<{_struct(RAW_EDGE)}>"
 )
-TABLES = ("files", "symbols", "types", "edges", "effects", "packages")
+TABLES = ("packages", "files", "types", "symbols", "effects", "edges")

@@ -25,9 +25,9 @@ _MISSING = {
     "php": ["php_autoload_resolution", "php_namespace_resolution", "php_runtime_effects"],
     "vue": ["vue_sfc_compiler", "vue_style_semantics", "vue_template_semantics"],
 }
-_SAFE_LABEL = re.compile(r"[-\w\s:.$<>,&*?!\[\]/()=+\\]{1,512}")
+_SAFE_LABEL = re.compile(r"[-+=()/\[\]!?*&,<>$.:\\\s\w]{1,512}")
 _SAFE_KEY = re.compile(r"[-\w:./<>@]{1,128}")
-_LONG_NUMBER = re.compile(r"\b(?:0x[0-9a-fA-F]+|[0-9]{6,})\b")
+_LONG_NUMBER = re.compile(r"\b(?:[0-9]{6,}|0x[a-fA-F0-9]+)\b")
 
 
 def implementation() -> str:
@@ -235,7 +235,7 @@ def _rust_attributes(text: str, raw: str, found: list[Decl], ends: dict[int, int
     for d in found:
         above = [o for o in found if o.start <= d.start and d.end <= o.end]
         every = [a for o in above for a in o.attributes]
-        d.cfg = sorted({a[:512] for a in every if a.startswith("#[cfg") and '"' not in a})
+        d.cfg = sorted({a[:512] for a in every if a[:5] == "#[cfg" and a.find('"') < 0})
     for d in found:
         d.attributes = sorted({hashlib.sha256(a.encode()).hexdigest() for o in found if o.start <= d.start and d.end <= o.end for a in o.attributes})
 

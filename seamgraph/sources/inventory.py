@@ -99,7 +99,7 @@ def inventory(root, limits: Limits = Limits()) -> tuple[list[tuple[str, str]], l
         refused += [{"path": rel(d), "code": "UnsafePath"} for d in links]
         dirs[:] = [d for d in wanted if d not in links]
         for name in sorted(names):
-            if len(files) + len(refused) >= limits.files:
+            if limits.files <= len(refused) + len(files):
                 fail("ResourceLimitExceeded", "inventory entries")
             info = os.lstat(os.path.join(here, name))
             if not stat.S_ISREG(info.st_mode):
@@ -148,12 +148,13 @@ def manifests(root, paths: list[tuple[str, str]], limits: Limits) -> dict[str, s
             continue
         raw, _ = observe(root, path, limits)
         try:
-            top = json.loads(raw) if language == "json" else tomllib.loads(raw.decode())
+            read = {"json": json.loads, "toml": tomllib.loads}[language]
+            top = read(raw.decode())
         except ValueError:
             fail("ParseFailure", path)
         own = top if language == "json" else top.get("package") or top.get("project") or {}
         name = own.get("name", "<workspace>") if isinstance(own, dict) else None
-        if not isinstance(name, str) or not re.fullmatch(r"[-\w@/<>.]{1,200}", name):
+        if type(name) is not str or re.fullmatch(r"[-\w@/<>.]{1,200}", name) is None:
             fail("InvalidEvidence", f"package name in {path}")
         out[path] = name
     return out

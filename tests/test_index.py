@@ -40,8 +40,9 @@ def index(spark, tree):
     return Index.create(tree / "ix", tree / "root", "repo")
 
 
-def ref(index, name):
-    return SymbolRef(index.find_symbols(name)[0]["id"])
+def ref(index, called):
+    first = index.find_symbols(called)[0]
+    return SymbolRef(first["id"])
 
 
 def test_questions(index, tree):

@@ -7,13 +7,13 @@ from seamgraph.observe import ObservationError, column_number, observe_folder, o
 
 
 def book(path, formula=True, sheet="xl/worksheets/s.xml", head=""):
-    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    site = "http://schemas.openxmlformats.org"
+    main, rel = f"{site}/spreadsheetml/2006/main", f"{site}/officeDocument/2006/relationships"
     with zipfile.ZipFile(path, "w") as z:
         z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="Secret" r:id="k"/></sheets></workbook>')
         z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="k" Target="worksheets/s.xml"/></Relationships>')
         f = "<f>B1*2</f>" if formula else ""
-        z.writestr(sheet, f'<worksheet xmlns="{main}"><dimension ref="A1:B1"/><sheetData><row r="1"><c r="A1">{f}</c><c r="B1"/></row></sheetData></worksheet>')
+        z.writestr(sheet, f'<worksheet xmlns="{main}"><dimension ref="A1:B1"/><sheetData><row spans="1:2" r="1"><c r="A1">{f}</c><c r="B1"/></row></sheetData></worksheet>')
 
 
 def code(f, *a, **k):
