@@ -259,7 +259,8 @@ class Index:
         return list(filter(lambda e: e["kind"] in (Effect.READ, Effect.RECEIPT_READ), self.effects_of(subject)))
 
     def writes_of(self, subject: Ref) -> list[dict]:
-        return list(filter(lambda e: e["kind"].startswith("WRITE") or e["kind"] == Effect.RECEIPT_WRITE, self.effects_of(subject)))
+        found = self.effects_of(subject)
+        return [x for x in found if x["kind"].removeprefix("RECEIPT_").startswith("WRITE")]
 
     def owners_of(self, subject: Ref) -> dict:
         self._known(subject)
@@ -371,7 +372,8 @@ class Index:
         else:
             effects = digest({"source": own["body_digest"], "resolution": "Unresolved"})
         hows = {e["resolution"] for e in forward["edges"]}
-        parts = {"effects": effects, "reverse": digest(users), "dependencies": digest(forward["edges"]), "rules": digest(self.meta["rules"])}
+        parts = {"effects": effects, "reverse": digest(users), "rules": digest(self.meta["rules"])}
+        parts["dependencies"] = digest(forward["edges"])
         return parts | {
             "resolution_complete": hows <= {"Resolved"} and not own["missing"], "complete": forward["status"] != "Partial",
             "inputs": inputs, "subject": subject.value,
@@ -401,7 +403,7 @@ class Index:
 
     def assess(self, subject: Ref, required_effects=(), required_targets=()) -> dict:
         """What of the required evidence is not there. Never a permission."""
-        there = {f"effect:{e['kind']}" for e in self.effects_of(subject) if e["kind"] != Effect.UNKNOWN}
+        there = {f"effect:{e['kind']}" for e in self.effects_of(subject)} - {"effect:UNKNOWN"}
         there |= {f"target:{e['target']}" for e in self.dependencies_of(subject) if e["resolution"] == "Resolved"}
         asked = [f"effect:{e}" for e in required_effects] + [f"target:{t.value}" for t in required_targets]
         missing = [a for a in asked if a not in there]
