@@ -36,45 +36,73 @@ def _slot(kind: str, value: str, dim: int = DIM) -> int:
     return RATES + zlib.crc32(f"{kind}:{value}".encode("utf-8", "surrogatepass")) % (dim - RATES)
 
 
-_SHAPE = bytes.maketrans(
-    b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", b"a" * 26 + b"A" * 26 + b"9" * 10
-)
-_known: dict[bytes, tuple[int, int]] = {}
-
-
-def _word_slots(w: bytes) -> tuple[int, int]:
-    got = _known.get(w)
-    if got is None:
-        if len(_known) > 200_000:
-            _known.clear()
-        shape = w.translate(_SHAPE)
-        short = bytes(c for k, c in enumerate(shape) if k == 0 or c != shape[k - 1])[:12]
-        got = _known[w] = RATES + zlib.crc32(w.lower()) % ((DIM - RATES) // 2), RATES + (DIM - RATES) // 2 + zlib.crc32(short) % ((DIM - RATES) // 2)
-    return got
+_HALF = (DIM - RATES) // 2
+_U = np.uint64
+_BASE = 0x9E3779B97F4A7C15
+_BLOCK = 1 << 20
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_LOWER = np.arange(256, dtype=np.uint64) + _U(1)
+_LOWER[65:91] += _U(32)
+_CLASS = np.full(256, 4, np.int64)  # letter small, letter large, digit, sign, beyond ASCII
+_CLASS[33:127], _CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = 3, 0, 1, 2
+_power: list[np.ndarray] = []
+
+
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's base and of its inverse, for places in a block."""
+    if not _power:
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            p = np.full(_BLOCK + 1, base, _U)
+            p[0] = 1
+            _power.append(np.cumprod(p, dtype=_U))
+    return _power[0], _power[1]
+
+
+def _hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the word in lower case, its form) of every word, from running sums over the bytes; a word
+    that crosses blocks of a megabyte counts as two."""
+    up, down = _powers()
+    hashes, forms = [], []
+    for lo in range(0, len(raw), _BLOCK):
+        b = np.frombuffer(raw, np.uint8, min(_BLOCK, len(raw) - lo), lo)
+        space = _SPACE[b]
+        edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
+        start, end = edge[::2], edge[1::2]
+        if not len(start):
+            continue
+        total = np.concatenate([np.zeros(1, _U), np.cumsum(_LOWER[b] * up[: len(b)], dtype=_U)])
+        h = (total[end] - total[start]) * down[start]
+        h = (h ^ (h >> _U(31))) * _U(0xBF58476D1CE4E5B9)
+        hashes.append(h ^ (h >> _U(29)))
+        k = _CLASS[b]
+        last = end - 1
+        form = (k[start] * 5 + k[np.minimum(start + 1, last)]) * 5 + k[np.maximum(last - 1, start)]
+        forms.append((form * 5 + k[last]) * 16 + np.minimum(end - start, 15))
+    if not hashes:
+        return np.zeros(0, _U), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(forms)
 
 
 def content_view(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(slots, values): the text's features, values of unit length but for the rates."""
     raw = text.encode("utf-8", "surrogatepass")
-    w = raw.split()
-    n = max(1, len(w))
-    chars = max(1, len(raw))
-    upper, digit = sum(map(raw.count, _UPPER)), sum(map(raw.count, _DIGIT))
-    marks = sum(map(raw.count, (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">")))
-    shouts = raw.count(b"!") + raw.count(b"?")
-    distinct = len(set(w)) / n
-    pairs = len(set(zip(w, w[1:]))) / max(1, len(w) - 1)
+    h, form = _hashed(raw)
+    n, chars = max(1, len(h)), max(1, len(raw))
+    upper, digit, marks, shouts = (len(raw) - len(raw.translate(None, c)) for c in (_UPPER, b"0123456789", b"#*$%&|<>", b"!?"))
+    distinct = len(np.unique(h)) / n
+    pairs = len(np.unique(h[1:] * _U(3) + h[:-1])) / max(1, len(h) - 1)
     rates = np.array([upper / chars * 5, digit / chars * 5, marks / chars * 5, shouts / chars * 5, distinct, pairs, min(2.0, chars / n / 10), 1.0])
-    if not w:
+    if not len(h):
         return np.arange(RATES), rates
-    counts = np.bincount(np.array([s for x in w for s in _word_slots(x)], np.int64), minlength=DIM)
+    word, shape = (h % _U(_HALF)).astype(np.int64), form * 40503 % _HALF
+    counts = np.bincount(np.concatenate([word + RATES, shape + RATES + _HALF]), minlength=DIM)
     slots = np.flatnonzero(counts)
     values = np.log1p(counts[slots])
     return np.concatenate([np.arange(RATES), slots]), np.concatenate([rates, values / np.sqrt((values**2).sum())])
 
 
-_UPPER = [bytes([c]) for c in range(65, 91)]
-_DIGIT = [bytes([c]) for c in range(48, 58)]
+_UPPER = bytes(range(65, 91))
 
 
 def metadata_view(lang, source, n_chars, text: str) -> tuple[np.ndarray, np.ndarray]:
