@@ -25,7 +25,9 @@ PATTERNS = {
     r"|(?<![\d+.-])(?:\+1[ .-])?[2-9]\d\d[.-][2-9]\d\d[.-]\d{4}(?![\d.-])"
     r"|(?<![\d+])\+(?!1[ .-]?\(?[2-9])\d{1,3}(?:[ .-]\(?\d{2,4}\)?){2,4}(?!\d)",
     "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])",
-    "card": r"(?<!\d)(?<!\d[ -])\d(?:[ -]?\d){12,18}(?![ -]?\d)",
+    # a run of digits by itself, or the groups that cards are printed in
+    "card": r"(?<!\d)\d{13,19}(?!\d)|(?<!\d)(?<!\d[ -])\d{4}(?:[ -]\d{4}){3}(?:[ -]\d{1,3})?(?![ -]?\d)"
+    r"|(?<!\d)(?<!\d[ -])\d{4}[ -]\d{6}[ -]\d{4,5}(?![ -]?\d)",
 }
 ANY = "|".join(PATTERNS.values())
 

@@ -33,6 +33,14 @@ def test_values_keep_their_format_and_link(spark, table):
     assert pseudonymize(table(texts), "key").columns == [*table(texts).columns, "finds"]
 
 
+def test_numbers_side_by_side(spark, table):
+    text = "4465758382889437 4111111111111111 2123465659789241, 3782 822463 10005"
+    row = pseudonymize(table([text]), "k").first()
+    assert [f["kind"] for f in row["finds"]] == ["card"] * 3  # the third number fails its check
+    new = row["text"].replace(",", "").split(" ", 3)
+    assert new[2] == "2123465659789241" and all(luhn(x) for x in (new[0], new[1], new[3])) and "4465758382889437" not in row["text"]
+
+
 def test_permutations_are_one_to_one(spark):
     k = F.lit("k")
     n = spark.range(189 * 773).select(permuted_number(F.col("id"), 189, 773, k, "date").alias("x"))
