@@ -27,76 +27,100 @@ from .simhash import _forest
 COSINE = 0.9
 PIVOTS = 16
 BLOCK_ROWS = 4096
-#: Radii of the levels below a block; the last level is the vectors themselves.
-RADII = (1.0, 0.5, 0.25)
+#: Radii of the levels below a block; the last level is the vectors themselves. Wider nodes than these bound nothing:
+#: two of radius 1 stay open at any distance that unit vectors without likeness have.
+RADII = (0.5, 0.25)
 _EPS = 1e-9
+#: Row pairs from which a pair of nodes is worth accepting whole.
+WHOLE = 64
 
 
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
+def owners(x: np.ndarray) -> list[np.ndarray]:
+    """Of each row its centre's row, level by level: within a node the first free row takes all free rows
+    within the radius."""
+    n = len(x)
+    group, out = np.zeros(n, np.int64), []
+    for r in RADII:
+        near = 1 - r * r / 2  # the cosine at distance r
+        own = np.arange(n)
+        order = np.argsort(group, kind="stable")
+        bounds = np.flatnonzero(np.diff(group[order], prepend=-1))
+        for lo, hi in zip(bounds, np.append(bounds[1:], n)):
+            if hi - lo == 1:
+                continue
+            rows = order[lo:hi]
+            g = x[rows] @ x[rows].T >= near
+            free = np.ones(len(rows), bool)
+            for k in np.flatnonzero(g.sum(1) > 1):
+                if free[k]:
+                    mine = free & g[k]
+                    own[rows[mine]] = rows[k]
+                    free &= ~mine
+        group = own
+        out.append(own)
+    return out
+
+
 class Tree:
     """Nested levels over the rows of x: levels[k] = (centres as rows of x, covering radii, parent in levels[k-1])."""
 
-    def __init__(self, x: np.ndarray, weight: np.ndarray):
+    def __init__(self, x: np.ndarray, weight: np.ndarray, own: list[np.ndarray] | None = None):
         self.x, self.weight = x, weight
         n = len(x)
         self.levels = []
         group = np.zeros(n, np.int64)  # of each row: its node in the level above
-        for r in RADII:
-            near = 1 - r * r / 2  # the cosine at distance r
-            own = np.full(n, -1)
-            centres, parents = [], []
-            order = np.argsort(group, kind="stable")
-            bounds = np.flatnonzero(np.diff(group[order], prepend=-1))
-            for lo, hi in zip(bounds, np.append(bounds[1:], n)):
-                rows = order[lo:hi]
-                if len(rows) == 1:
-                    own[rows] = len(centres)
-                    centres.append(rows[0])
-                    parents.append(group[rows[0]])
-                    continue
-                g = x[rows] @ x[rows].T >= near
-                free = np.ones(len(rows), bool)
-                for k in range(len(rows)):
-                    if free[k]:
-                        mine = free & g[k]
-                        mine[k] = True
-                        own[rows[mine]] = len(centres)
-                        centres.append(rows[k])
-                        parents.append(group[rows[k]])
-                        free &= ~mine
-            centres = np.array(centres)
-            self.levels.append([centres, self._radii(centres, own), np.array(parents)])
-            group = own
+        for centre in owners(x) if own is None else own:
+            centres, node = np.unique(centre, return_inverse=True)
+            self.levels.append([centres, self._radii(centres, node), group[centres]])
+            group = node
         self.levels.append([np.arange(n), np.zeros(n), group])
-        # the nodes' weights and, level by level, their children
+        # level by level: the nodes by parent, and where each parent's start
         self.first = []
         for k in range(len(self.levels)):
             parent = self.levels[k][2]
-            order = np.argsort(parent, kind="stable")
             count = np.bincount(parent, minlength=len(self.levels[k - 1][0]) if k else 1)
-            self.first.append((order, np.concatenate([[0], np.cumsum(count)])))
-        self.leaf_of = [None] * len(self.levels)
+            self.first.append((np.argsort(parent, kind="stable"), np.concatenate([[0], np.cumsum(count)])))
+        # level by level: the rows by node, and where each node's start
+        self.rows, self.sizes = [None] * len(self.levels), [None] * len(self.levels)
         up = np.arange(n)
         for k in range(len(self.levels) - 1, -1, -1):
-            self.leaf_of[k] = up
+            size = np.bincount(up, minlength=len(self.levels[k][0]))
+            self.sizes[k] = size
+            self.rows[k] = np.argsort(up, kind="stable"), np.concatenate([[0], np.cumsum(size)])
             up = self.levels[k][2][up]
 
+    def members(self, k: int, node: int) -> np.ndarray:
+        order, ends = self.rows[k]
+        return order[ends[node] : ends[node + 1]]
+
     def _radii(self, centres, own):
         gap = np.sqrt(((self.x - self.x[centres[own]]) ** 2).sum(1))
         out = np.zeros(len(centres))
         np.maximum.at(out, own, gap)
         return out
 
-    def below(self, k: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index into node, child) for the children of nodes of level k - 1 in level k."""
-        order, ends = self.first[k]
-        n = ends[node + 1] - ends[node]
-        who = np.repeat(np.arange(len(node)), n)
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return who, order[ends[node][who] + within]
+
+def _children(first_a, first_b, p, q, same):
+    """Pairs of children of the node pairs p-q, a bounded number at a time; the children of one node pair up once."""
+    (order_a, ends_a), (order_b, ends_b) = first_a, first_b
+    na, nb = ends_a[p + 1] - ends_a[p], ends_b[q + 1] - ends_b[q]
+    total = np.cumsum(na * nb)
+    cut = np.unique(np.searchsorted(total, np.arange(0, int(total[-1]) + (1 << 20), 1 << 20))) if len(total) else np.zeros(0, np.int64)
+    for lo, hi in zip(np.concatenate([[0], cut]), np.append(cut, len(p))):
+        if lo == hi:
+            continue
+        n = (na * nb)[lo:hi]
+        who = np.repeat(np.arange(lo, hi), n)
+        at = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+        x, y = order_a[ends_a[p[who]] + at // nb[who]], order_b[ends_b[q[who]] + at % nb[who]]
+        if same:
+            keep = (p[who] != q[who]) | (x <= y)
+            x, y = x[keep], y[keep]
+        yield x, y
 
 
 def dual(a: Tree, b: Tree, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -110,24 +134,12 @@ def dual(a: Tree, b: Tree, cosine: float, same: bool) -> tuple[np.ndarray, np.nd
     for k in range(last + 1):
         ca, ra, _ = a.levels[k]
         cb, rb, _ = b.levels[k]
-        found = []
-        for lo in range(0, len(p), 4096):
-            w, child_a = a.below(k, p[lo : lo + 4096])
-            parts = q[lo : lo + 4096][w]
-            own = same & (p[lo : lo + 4096][w] == parts)  # children of one node pair up once
-            for s in range(0, len(w), 2048):
-                v, child_b = b.below(k, parts[s : s + 2048])
-                x, y = child_a[s : s + 2048][v], child_b
-                if same:
-                    keep = ~own[s : s + 2048][v] | (x <= y)
-                    x, y = x[keep], y[keep]
-                for at in range(0, len(x), 1 << 21):
-                    xs, ys = x[at : at + (1 << 21)], y[at : at + (1 << 21)]
-                    cos = _cosines(a.x[ca], b.x[cb], xs, ys)
-                    found.append(_sift(k, last, xs, ys, cos, ra, rb, far, cosine))
+        found = [_sift(k, last, *t, ra, rb, far, cosine, (a.sizes[k], b.sizes[k])) for t in _widest(a.x[ca], b.x[cb], ra, rb, far, same)] if k == 0 else []
+        for x, y in _children(a.first[k], b.first[k], p, q, same) if k else ():
+            found.append(_sift(k, last, x, y, _cosines(a.x[ca], b.x[cb], x, y), ra, rb, far, cosine, (a.sizes[k], b.sizes[k])))
         whole = [np.concatenate([f[t] for f in found]) if found else np.zeros(0, np.int64) for t in range(4)]
         for x, y in zip(whole[2], whole[3]):  # node pairs accepted whole
-            rows_a, rows_b = np.flatnonzero(a.leaf_of[k] == x), np.flatnonzero(b.leaf_of[k] == y)
+            rows_a, rows_b = a.members(k, x), b.members(k, y)
             if same and x == y:
                 na[rows_a] += a.weight[rows_a].sum() - a.weight[rows_a]
                 ii.append(np.repeat(rows_a[:1], len(rows_a) - 1))
@@ -154,6 +166,28 @@ def dual(a: Tree, b: Tree, cosine: float, same: bool) -> tuple[np.ndarray, np.nd
     return na, nb, cat(ii), cat(jj)
 
 
+def _widest(x, y, rx, ry, far, same):
+    """(i, j, cosines) of the first level's pairs that may be near: matrix products, sieved by the farthest that a
+    row's pairs may be, in single precision with room for its error; what passes is taken in double. Nodes of
+    like radii are sieved together: single vectors, which are most where little clusters, apart from wide ones."""
+    x1, y1 = x.astype(np.float32), y.astype(np.float32)
+    kind = np.searchsorted(np.array([1e-12, 0.2, 0.35, 0.5, 0.75]), ry)
+    for k in np.unique(kind):
+        cols = np.flatnonzero(kind == k)
+        reach = np.minimum(2.0, far + rx + ry[cols].max() + _EPS)
+        least = (1 - reach * reach / 2 - 1e-5).astype(np.float32)
+        part = np.ascontiguousarray(y1[cols].T)
+        for lo in range(0, len(x), 512):
+            hit = np.flatnonzero((x1[lo : lo + 512] @ part >= least[lo : lo + 512, None]).ravel())
+            i, j = hit // len(cols) + lo, cols[hit % len(cols)]
+            if same:
+                keep = i <= j
+                i, j = i[keep], j[keep]
+            for at in range(0, len(i), 1 << 20):
+                own = slice(at, at + (1 << 20))
+                yield i[own], j[own], _cosines(x, y, i[own], j[own])
+
+
 def _cosines(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Cosines of the pairs i-j: one matrix product where they fill a rectangle well, else pair by pair."""
     ui, uj = np.unique(i), np.unique(j)
@@ -166,7 +200,7 @@ def _cosines(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.n
     return out
 
 
-def _sift(k, last, x, y, cos, ra, rb, far, cosine):
+def _sift(k, last, x, y, cos, ra, rb, far, cosine, sizes):
     """(open x, open y, accepted x, accepted y)."""
     if k == last:
         hit = cos >= cosine
@@ -175,7 +209,8 @@ def _sift(k, last, x, y, cos, ra, rb, far, cosine):
     gap = np.sqrt(np.maximum(0, 2 - 2 * cos))
     reach = ra[x] + rb[y]
     near = gap <= far + reach + _EPS
-    all_in = near & (gap + reach <= far - _EPS) & (reach > 0)
+    many = sizes[0][x] * sizes[1][y] >= WHOLE  # fewer are as soon compared
+    all_in = many & (gap + reach <= far - _EPS)
     near &= ~all_in
     return x[near], y[near], x[all_in], y[all_in]
 
@@ -259,15 +294,31 @@ def embedding_near_dups(table: DataFrame, cosine: float = COSINE, pivots: int =
     part = F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("part")
     dealt = placed.join(sizes, ["dim", "pivot"]).select("node", "weight", "x", F.struct("dim", "pivot", part).alias("block"))
     partners = _pair_blocks(placed, chosen, cosine, block_rows).groupBy("block").agg(F.collect_set("other").alias("others"))
-    sent = dealt.join(partners, "block").select("node", "weight", "x", "block", F.explode("others").alias("other"))
-    cells = sent.select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") <= F.col("other")).alias("low"), "node", "weight", "x")
+    def grow(t):
+        import pyarrow as pa
+
+        ids = t.column("node").to_numpy()
+        own = owners(unit(_matrix(t.column("x"))))
+        for k, o in enumerate(own):
+            t = t.append_column(f"l{k}", pa.array(ids[o]))
+        return t
+
+    names = [f"l{k}" for k in range(len(RADII))]
+    kinds = "node long, weight long, x array<float>, block struct<dim:long,pivot:long,part:int>, " + ", ".join(f"{c} long" for c in names)
+    grown = durable(dealt.groupBy("block").applyInArrow(grow, kinds), "trees")
+    rows_of = ["node", "weight", "x", *names]
+    sent = grown.join(partners, "block").select(*rows_of, "block", F.explode("others").alias("other"))
+    cells = sent.select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") <= F.col("other")).alias("low"), *rows_of)
 
     def compare(t):
         import pyarrow as pa
         import pyarrow.compute as pc
 
         def side(s):
-            return Tree(unit(_matrix(s.column("x"))), s.column("weight").to_numpy()), s.column("node").to_numpy()
+            ids = s.column("node").to_numpy()
+            order = np.argsort(ids)
+            own = [order[np.searchsorted(ids[order], s.column(c).to_numpy())] for c in names]
+            return Tree(unit(_matrix(s.column("x"))), s.column("weight").to_numpy(), own), ids
 
         low, high = t.filter(t.column("low")), t.filter(pc.invert(t.column("low")))
         same = t.column("lo")[0].equals(t.column("hi")[0])
