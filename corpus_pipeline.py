@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamgraph.llm.common import durable
-from seamgraph.llm.linededup import line_dedup
+from seamgraph.llm.linededup import MIN_WORDS, line_dedup
 from seamgraph.llm.mixing import mixed_documents
 from seamgraph.llm.pieces import encode_decode
 from seamgraph.llm.quality import quality_filter
@@ -24,8 +24,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of line runs leave the texts; n_chars follows. Documents that lose every line stay, empty."""
-    out = line_dedup(docs)
+    """Later repeats of line runs, long ones of one or two lines too, leave the texts; n_chars follows.
+    Documents that lose every line stay, empty."""
+    out = line_dedup(docs, min_words=MIN_WORDS)
     if "n_chars" in docs.columns:
         cut = F.col("n_removed") > 0
         out = out.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))

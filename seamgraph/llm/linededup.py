@@ -7,6 +7,9 @@ that occur once end the search there. Those that repeat are extended both ways:
 them is named by its content, and a window whose content has an earlier place, in the order of doc_id, is
 a later repeat. The union of such windows is every maximal repeated run, and its lines go.
 
+With min_words, shorter runs that hold so many words are repeats too: each is a window of its own, whose
+content is its fingerprint, so documents of fewer than MIN_RUN units are compared as well.
+
 Positions are joined by content with the first place alone, never with each other, so a line that
 every document holds costs as many rows as it has places.
 """
@@ -16,34 +19,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, packed
+from .common import let, n_words, packed
 
 #: Least length of a run, in lines that hold a word.
 MIN_RUN = 3
+#: Least number of words of a shorter run, where those count.
+MIN_WORDS = 50
 
 
 def _unit(line: Column) -> Column:
     return line.rlike(r"[^\x20\x09-\x0D]")
 
 
-def _windows(docs: DataFrame, min_run: int) -> DataFrame:
+def _windows(docs: DataFrame, min_run: int, min_words: int | None) -> DataFrame:
     """(id, h, print, at, to, a, b): one row per window and document: its fingerprint, the lines of its first
     and last units and its content's two hashes."""
-    units = F.filter(
-        F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("i"), F.when(_unit(x), F.xxhash64(x)).alias("p"), F.when(_unit(x), F.xxhash64(F.lit(11), x)).alias("q"))),
-        lambda u: u["p"].isNotNull(),
-    )
+
+    def line(x: Column, i: Column) -> Column:
+        words = [] if min_words is None else [F.when(_unit(x), n_words(x)).alias("n")]
+        return F.struct(i.alias("i"), F.when(_unit(x), F.xxhash64(x)).alias("p"), F.when(_unit(x), F.xxhash64(F.lit(11), x)).alias("q"), *words)
+
+    units = F.filter(F.transform(F.split("text", "\n", -1), line), lambda u: u["p"].isNotNull())
 
     def rows(u: Column) -> Column:
         own = lambda k, d, f: F.element_at(u, (k + d).cast("int"))[f]
-        return F.transform(
-            F.when(F.size(u) >= min_run, F.sequence(F.lit(1), F.size(u) - (min_run - 1))).otherwise(F.array().cast("array<int>")),
-            lambda k: F.struct(
-                F.least(*[own(k, d, "p") for d in range(min_run)]).alias("print"), own(k, 0, "i").alias("at"), own(k, min_run - 1, "i").alias("to"),
-                F.xxhash64(*[own(k, d, "p") for d in range(min_run)], *[own(k, d, "q") for d in range(min_run)]).alias("a"),
-                F.xxhash64(F.lit(5), *[own(k, d, "q") for d in range(min_run)], *[own(k, d, "p") for d in range(min_run)]).alias("b"),
-            ),
-        )
+        starts = lambda run: F.when(F.size(u) >= run, F.sequence(F.lit(1), F.size(u) - (run - 1))).otherwise(F.array().cast("array<int>"))
+
+        def window(k: Column, run: int) -> Column:
+            p, q = ([own(k, d, f) for d in range(run)] for f in "pq")
+            a = F.xxhash64(*p, *q)
+            return F.struct(
+                (F.least(*p) if run == min_run else a).alias("print"), own(k, 0, "i").alias("at"), own(k, run - 1, "i").alias("to"),
+                a.alias("a"), F.xxhash64(F.lit(5), *q, *p).alias("b"),
+            )
+
+        def windows(run: int) -> Column:
+            at = starts(run)
+            if run < min_run:
+                at = F.filter(at, lambda k: sum((own(k, d, "n") for d in range(1, run)), own(k, 0, "n")) >= min_words)
+            return F.transform(at, lambda k: window(k, run))
+
+        return F.concat(*[windows(run) for run in range(min_run if min_words is None else 1, min_run + 1)])
 
     return docs.select("id", "h", F.inline(let(units, rows)))
 
@@ -53,10 +69,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "h": F.xxhash64(text), "text": text})
 
 
-def repeated_runs(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+def repeated_runs(docs: DataFrame, min_run: int = MIN_RUN, min_words: int | None = None) -> DataFrame:
     """(id, h, runs): for documents that lose lines, the line ranges (at, to) whose units go. (id, h) is
     doc_id, 0 for null, and the text's hash."""
-    w = _windows(_keyed(docs.select("doc_id", "text")), min_run)
+    w = _windows(_keyed(docs.select("doc_id", "text")), min_run, min_words)
     again = w.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print")
     live = w.join(again, "print", "left_semi").drop("print")
     place = F.struct("id", "h", "at")
@@ -65,18 +81,18 @@ def repeated_runs(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     return later.groupBy("id", "h").agg(F.collect_set(F.struct("at", "to")).alias("runs"))
 
 
-def line_dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+def line_dedup(docs: DataFrame, min_run: int = MIN_RUN, min_words: int | None = None) -> DataFrame:
     """docs -> its columns with the repeated lines gone from text, and n_lines, n_removed (long).
 
     Lines are what "\\n" separates, compared whole. A run is of min_run lines or more, lines without a word
-    not counted; its first place, least by doc_id (null as 0), text hash and line, stays. Rows that repeat
+    not counted, or of fewer that hold min_words words together, if given; its first place, least by doc_id (null as 0), text hash and line, stays. Rows that repeat
     doc_id and text are one place and lose the same lines. A null text stays null, with no lines; an
     empty one has one line. A document may lose all its lines: its text is then empty. An empty table
     gives an empty result. Other columns pass; own n_lines and n_removed columns are replaced."""
     cols = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(text).alias("h")]
-    out = docs.select(packed(docs, cols), *key).join(repeated_runs(docs, min_run), ["id", "h"], "left")
+    out = docs.select(packed(docs, cols), *key).join(repeated_runs(docs, min_run, min_words), ["id", "h"], "left")
     raw = F.col("_row.text").cast("string")
 
     def cut(lines: Column) -> Column:

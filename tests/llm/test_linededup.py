@@ -36,3 +36,39 @@ def test_columns_repeats_and_nothing(spark, table):
     assert got == [(False, ""), (False, ""), (True, "a\nb\nc")]
     assert line_dedup(docs).columns == [*docs.columns, "n_lines", "n_removed"]
     assert line_dedup(docs.limit(0)).count() == 0
+
+
+def test_long_runs_of_few_lines(spark, table, words):
+    long, half = " ".join(words * 3), " ".join(words[:19] + words[:7])
+    texts = [long, long, f"{half}\n\n{half} x", f"own\n{half}\n{half} x\nother", half, half, f"{long}\nshort"]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup(table(texts), min_words=50).collect()}
+    assert got == {0: (long, 0), 1: ("", 1), 2: (texts[2], 0), 3: ("own\nother", 2), 4: (half, 0), 5: (half, 0), 6: ("short", 1)}
+
+
+def test_short_runs_match_sql(spark):
+    import duckdb
+    import pytest
+
+    from seamgraph.llm.queries import oracle_sql, queries
+
+    path = "/root/testdata/sf0.01"
+    name = "op6_line_dedup_short_runs"
+    con = duckdb.connect()
+    try:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/documents.parquet')")
+    except duckdb.IOException:
+        pytest.skip("needs the driver's tables")
+    got = queries()[name](spark, path)
+    cols = got.columns
+    want = con.execute(oracle_sql()[name]).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and cols == [c[0] for c in con.description]
+    assert sum(r[2] for r in want) > sum(r[2] for r in con.execute(oracle_sql()["op6_line_dedup"]).fetchall())
+
+
+def test_the_pipeline_drops_copies_of_one_line(spark, table, words):
+    import pytest
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    long = " ".join(words * 3)
+    got = {r["doc_id"]: r["text"] for r in dict(pipeline.STAGES)["line dedup"](spark, table([long, long]), "").collect()}
+    assert got == {0: long, 1: ""}
