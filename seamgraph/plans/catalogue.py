@@ -224,9 +224,24 @@ def candidate_path_join(s, d):
       FROM x LEFT JOIN i ON x.sec >= lo2 AND x.sec < hi) WHERE k = 1"""
 )
 def interval_containment(s, d):
+    return _contained(s, d, table(s, d, "orders").filter("o_orderkey % 5 = 0"))
+
+
+@_register(
+    """WITH x AS (SELECT event_id, floor(epoch(ts))::BIGINT AS sec FROM events),
+    b AS (SELECT min(sec) AS lo FROM x),
+    i AS (SELECT o_orderkey AS span, lo + (o_orderkey * 977) % 2000000 AS lo2, lo + (o_orderkey * 977) % 2000000 + 600 + (o_orderkey % 50) * 60 AS hi FROM orders, b)
+    SELECT event_id, sec, span FROM (SELECT x.*, i.span, row_number() OVER (PARTITION BY event_id ORDER BY hi - lo2 NULLS LAST, span) AS k
+      FROM x LEFT JOIN i ON x.sec >= lo2 AND x.sec < hi) WHERE k = 1"""
+)
+def interval_containment_whole(s, d):
+    return _contained(s, d, table(s, d, "orders"))
+
+
+def _contained(s, d, orders):
     x = table(s, d, "events").select("event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("sec"))
     lo = x.agg(F.min("sec").alias("lo")).scalar()
-    spans = table(s, d, "orders").filter("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("span"), (lo + (F.col("o_orderkey") * 977) % 2000000).alias("lo"))
+    spans = orders.select(F.col("o_orderkey").alias("span"), (lo + (F.col("o_orderkey") * 977) % 2000000).alias("lo"))
     spans = spans.withColumn("hi", F.col("lo") + 600 + (F.col("span") % 50) * 60)
     return joins.contained_in(x, "sec", spans, "lo", "hi", "span", 3600)
 
@@ -333,6 +348,11 @@ def total_order(s, d):
     return graph_nodes(s, d).select("id", "name").orderBy("id").limit(100)
 
 
+@_register(f"WITH {SQL_NODES} SELECT id, name FROM g_nodes ORDER BY id")
+def total_order_whole(s, d):
+    return graph_nodes(s, d).select("id", "name").orderBy("id")
+
+
 # ---- aggregates
 
 
@@ -432,6 +452,15 @@ def rule_witness_stale(s, d):
     return joins.orphans(rules, "digest", seen, "digest").select("doc_id")
 
 
+@_register(r"SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(regexp_replace(text, '\b(?:[0-9]{6,}|0x[a-fA-F0-9]+)\b', '#', 'g')) FROM documents WHERE text IS NOT NULL)")
+def rule_witness_stale_whole(s, d):
+    """Every document as a rule, against the whole version of the table whose numbers are masked."""
+    docs = table(s, d, "documents")
+    rules = docs.select("doc_id", F.sha2("text", 256).alias("digest"))
+    seen = docs.select(F.sha2(T.masked(F.col("text")), 256).alias("digest"))
+    return joins.orphans(rules, "digest", seen, "digest").select("doc_id")
+
+
 @_register("SELECT source AS symbol, count(*) AS n FROM documents GROUP BY source HAVING count(*) > 1")
 def rule_duplicates(s, d):
     return table(s, d, "documents").groupBy(F.col("source").alias("symbol")).agg(F.count("*").alias("n")).filter("n > 1")
