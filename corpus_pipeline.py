@@ -39,8 +39,8 @@ def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each copy of a document that the mix takes, in training order."""
-    return mixed_documents(docs)
+    """One row for each copy of a document that the mix takes, in training order; texts stay whole."""
+    return mixed_documents(docs, whole=True)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

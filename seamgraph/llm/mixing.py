@@ -134,9 +134,10 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     return range_sorted(out, float(total), "doc_id")
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+def mixed_documents(docs: DataFrame, whole: bool = False, **how) -> DataFrame:
     """The training stream: docs' columns, one row for each copy that is taken, in order of position. A
-    copy that is taken in part holds its first words, joined by single spaces."""
+    copy that is taken in part holds its first words, joined by single spaces; if whole, it is taken with
+    its whole text where that is nearer the target, else left."""
     cols = list(docs.columns)
     own = durable(plan(docs, **how).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_h"), F.col("nth").alias("_nth"), "taken", "size", "copies"), "plan")
     total = own.agg(F.sum("taken")).first()[0] or 0
@@ -146,6 +147,8 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     own = own.withColumn("_key", F.coalesce("_id", F.lit(0))).select("_key", "_h", "_nth", "size", "copies")
     out = rows.join(own, ["_key", "_h", "_nth"]).select("_row", "_key", "size", F.explode("copies").alias("_copy"))
     text = F.col("_row.text").cast("string")
+    if whole:
+        out = out.filter(F.col("_copy.words") * 2 >= F.col("size")).withColumn("_copy", F.col("_copy").withField("words", F.col("size")))
     cut = _first_words(text, F.col("_copy.words"))
     out = out.select("_row", "_key", F.col("_copy.position").alias("position"), F.when(F.col("_copy.words") < F.col("size"), cut).otherwise(text).alias("_text"))
     out = range_sorted(out, float(total), "_key")

@@ -54,3 +54,15 @@ def test_stream(spark, table, words):
     assert sum(len(r["text"].split()) for r in rows) == taken and 7 not in {r["doc_id"] for r in rows}
     assert mixed_documents(docs.limit(0)).count() == 0 and mix(docs.limit(0)).count() == 0
     assert mix(table([None, ""])).count() == 2
+
+
+def test_whole_copies(spark, table, words):
+    texts = ["\n".join(words) + f"\n{k}" for k in range(3)]
+    sizes = dict(a=2 * 21, b=21)
+    docs = table(texts, sources=["a", "a", "b"])
+    rows, cut = mixed_documents(docs, whole=True).collect(), mixed_documents(docs).collect()
+    assert {r["text"] for r in cut} - set(texts) and {r["text"] for r in rows} <= set(texts)
+    assert all(r["n_chars"] == len(r["text"]) for r in rows)
+    for s, target in shares(sizes).items():
+        taken = sum(len(r["text"].split()) for r in rows if r["source"] == s)
+        assert abs(taken - target) <= 21 / 2 + 1 and taken <= 3 * sizes[s]
