@@ -16,24 +16,32 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set, as in tests."""
+    """The cluster's shared folder; a temporary one only where none is set and one machine does all the work."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='seamgraph-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def _path(spark: SparkSession, at: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write df to the shared folder and read it back: cuts lineage and survives lost executors. What is not
+    forgotten before goes when the application ends."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")  # the table is whole: its shuffle files serve nothing more
-    try:
-        df.write.option("compression", "zstd").parquet(at)
-    finally:
-        spark.conf.set(_CLEANUP, before)
+    home = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+    at = f"{home}/{name}-{uuid.uuid4().hex}"
+    if spark.conf.get(_CLEANUP, "false") != "true":
+        spark.conf.set(_CLEANUP, "true")  # a table that is written is whole: its shuffle files serve nothing more
+    df.write.option("compression", "zstd").parquet(at)
+    path, fs = _path(spark, home)
+    fs.deleteOnExit(path)
     out = spark.read.schema(df.schema).parquet(at)
     out._seam_path = at
     return out
@@ -44,9 +52,34 @@ def forget(*tables: DataFrame | None) -> None:
     for df in tables:
         at = getattr(df, "_seam_path", None)
         if at:
-            spark = df.sparkSession
-            path = spark._jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            path, fs = _path(df.sparkSession, at)
+            fs.delete(path, True)
+
+
+#: A key with more than one in HOT of all rows is hot; there are fewer than HOT such keys.
+HOT = 2000
+
+
+def met(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined with right, which holds each of left's keys once at most, with its number of left's rows in
+    `count`. The keys that hold more than one in HOT of the total rows, fewer than HOT of them by their sum,
+    travel to left's rows; the others are shuffled, so no task gets many rows of one key. how: inner or left."""
+    limit = total // HOT + 1
+    hot = F.broadcast(right.filter(F.col(count) > limit))
+    cold = right.filter(F.col(count) <= limit)
+    rest = left.join(F.broadcast(right.filter(F.col(count) > limit).select(*keys)), keys, "left_anti")
+    return left.join(hot, keys).drop(count).unionByName(rest.join(cold, keys, how).drop(count))
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns; those that hold a map, which can't be hashed, enter as JSON."""
+
+    def has_map(kind) -> bool:
+        inner = [f.dataType for f in kind.fields] if kind.typeName() == "struct" else [kind.elementType] if kind.typeName() == "array" else []
+        return kind.typeName() in ("map", "variant") or any(map(has_map, inner))
+
+    at = lambda f: F.col(f"`{f.name}`")
+    return F.xxhash64(*[F.to_json(F.struct(at(f).alias("x"))) if has_map(f.dataType) else at(f) for f in docs.schema.fields]).alias("row_hash")
 
 
 def words(text: Column) -> Column:
