@@ -1,15 +1,17 @@
-"""Exact substring dedup: every window of WINDOW words that starts at two places or more goes.
-
-1. Recompression (see recompress.py) names the texts' symbols; those whose context fits in a window are
-   kept as a table and counted over the whole corpus. A window that covers the context of a symbol that
-   occurs once occurs once itself and is settled; so is most of the text.
-2. The other windows, in blocks that end where the next symbol's context starts, are named by content
-   (128 bits). A block whose name repeats is a repeat as a whole: its windows are settled, and one place
-   speaks for all of them.
-3. The remaining windows are counted one by one, against each other and those places.
-
-Only names and places are exchanged, by partial counts and joins that the engine may split, so a passage
-in a third of all documents costs as many rows as it has places. Finished steps are written to the shared
+"""Exact substring dedup by recompression: every window of WINDOW words that starts at two places or more goes.
+
+1. Equal texts are one, with their number. Rounds of recompression (see recompress.py) name runs and pairs: a first
+   parse within each text up to a third of a window, then Spark rounds that double the symbols' greatest length until
+   it is sixteen windows. Each round's new names are counted over the whole corpus, and the table of those that occur
+   at two places or more decides what goes on: shared symbols pair up in the next round, symbols that occur once
+   become fences. A window that covers the context of a symbol that occurs once occurs once itself and is settled.
+2. Shared symbols reveal repeats: those as long as a window are matched by their 128-bit names, and where a name has
+   a second place, all windows inside it are repeats, at all its places; its first place speaks for them.
+3. What is left lies at the edges of repeats, where no symbol that reaches over the edge is shared. These windows are
+   verified by their words: in blocks, then one by one, against each other and against those that speak.
+
+Only names and places are exchanged, by partial counts; hot names travel to the rows instead of meeting in one task, so
+a passage in a third of all documents costs as many rows as it has places. Finished steps are written to the shared
 folder, which also releases their shuffle files.
 """
 
@@ -19,22 +21,34 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, forget
-from .recompress import Parse, U, fenced, stir, window_hashes, word_hashes
+from .common import durable, forget, met
+from .recompress import FENCE, FRESH, SHARED, Parse, U, stir, window_hashes, word_hashes
 
 WINDOW = 35
-ROUNDS, LONGEST = 6, 12
+#: Rounds within a text before the first count, and rounds between two counts.
+FIRST_ROUNDS, ROUNDS = 6, 2
+#: A symbol's greatest length, in windows, at which rounds end: longer repeats are met at the seams of such symbols.
+REACH = 16
 #: Words that a worker parses at a time; a longer text is parsed alone.
 AT_ONCE = 250_000
-#: Low bits of a packed place: the symbol's ordinal in its document. Later symbols count as repeated.
+#: Low bits of a packed place: the symbol's ordinal among its text's new ones. Later ones are taken as shared.
 ORD = (1 << 24) - 1
+#: A block ends before a window whose first word's hash has these bits clear.
+_CUT = U(3)
+
+_KEY = ["h1", "h2"]
+_RUNS = "array<struct<at:int,n:int>>"
+_STATE = (
+    "h1 long, h2 long, m long, n int, a array<long>, b array<long>, start array<int>, size array<int>, before array<int>, after array<int>, "
+    f"first array<short>, last array<short>, kind array<byte>, ask array<long>, once {_RUNS}, grams array<struct<a:long,b:long,at:int,n:int>>"
+)
+_NAMES = [f.split()[0] for f in _STATE.replace(_RUNS, "x").replace("array<struct<a:long,b:long,at:int,n:int>>", "x").split(", ")]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(id, rid, text): the row's key; rows with equal keys hold equal texts."""
+    """(doc_id, h1, h2, text): rows with equal keys hold equal texts."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    kid = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), kid.alias("id"), F.xxhash64(kid, text).alias("rid"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(5), text).alias("h2"), text.alias("text"))
 
 
 def _groups(texts):
@@ -42,177 +56,329 @@ def _groups(texts):
     own, total, lo = [], 0, 0
     for k, t in enumerate(texts):
         h = word_hashes(t.as_py())
-        if own and total + len(h) > AT_ONCE:
+        if own and total + len(h[0]) > AT_ONCE:
             yield lo, own
             own, total, lo = [], 0, k
         own.append(h)
-        total += len(h)
+        total += len(h[0])
     if own:
         yield lo, own
 
 
-def _parsed(keyed: DataFrame, size: int) -> DataFrame:
-    """(id, rid, n, name, lo, width): a document's words and, of its symbols whose context fits, the names and
-    contexts (first word and number of words)."""
+def _list(values: np.ndarray, row: np.ndarray, rows: int):
+    """An Arrow list column of values, which belong to ascending rows."""
+    import pyarrow as pa
 
-    def go(batches):
-        import pyarrow as pa
+    return pa.ListArray.from_arrays(np.searchsorted(row, np.arange(rows + 1)).astype(np.int32), values if isinstance(values, pa.Array) else pa.array(values))
+
+
+def _flat(col, *fields: str):
+    """(values of a list column, rows they belong to); of a list of structs, the fields' values."""
+    import pyarrow as pa
+
+    ends = col.offsets.to_numpy().astype(np.int64)
+    values = col.values.slice(ends[0], ends[-1] - ends[0])
+    row = np.repeat(np.arange(len(col)), np.diff(ends))
+    take = lambda v: v.to_numpy(zero_copy_only=False)
+    if isinstance(values, pa.StructArray):
+        return *[take(f) for f in values.flatten()], row
+    return take(values), row
 
-        for b in batches:
-            for first, own in _groups(b.column(2)):
-                words, fence, starts = fenced(own)
-                p = Parse(words, fence).rounds(ROUNDS, LONGEST)
-                at = np.flatnonzero(~p.fence & (p.hi - p.lo <= size) & (p.lo >= 0))
-                # a context that reaches a fence lies in no window
-                lo, hi = p.lo[at], p.hi[at]
-                row = np.searchsorted(starts, p.start[at], side="right") - 1
-                n = np.array([len(x) for x in own], np.int64)
-                inside = (lo >= starts[row]) & (hi <= starts[row] + n[row])
-                at, lo, hi, row = at[inside], lo[inside], hi[inside], row[inside]
-                ends = np.searchsorted(row, np.arange(len(own) + 1)).astype(np.int32)
-                flat = [pa.array(p.name[at].view(np.int64)), pa.array((lo - starts[row]).astype(np.int32)), pa.array((hi - lo).astype(np.int8))]
-                part = b.slice(first, len(own))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(n.astype(np.int32)), *[pa.ListArray.from_arrays(ends, x) for x in flat]],
-                    ["id", "rid", "n", "name", "lo", "width"],
-                )
 
-    return keyed.select("id", "rid", "text").mapInArrow(go, "id long, rid long, n int, name array<long>, lo array<int>, width array<byte>")
+def _struct(**columns):
+    import pyarrow as pa
 
+    return pa.StructArray.from_arrays([pa.array(c) for c in columns.values()], list(columns))
 
-def _open_blocks(parsed: DataFrame, size: int) -> DataFrame:
-    """parsed with `again` (ordinals of symbols that repeat) -> (id, rid, blocks): for documents with windows
-    that no symbol settles, runs (at, n) of such windows, cut where contexts start."""
 
-    def flat(col):
-        ends = col.offsets.to_numpy()
-        return col.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]], ends - ends[0]
+def _state(keys, p: Parse, once, grams):
+    """A record batch of _STATE. keys: h1, h2, m, n; once and grams: their fields and rows."""
+    import pyarrow as pa
 
+    rows = len(keys[0])
+    fresh = p.kind == FRESH
+    i64 = lambda x: x.view(np.int64)
+    lists = [
+        i64(p.a), i64(p.b), p.start.astype(np.int32), (p.end - p.start).astype(np.int32), (p.start - p.lo).astype(np.int32),
+        (p.hi - p.end).astype(np.int32), p.first, p.last, p.kind,
+    ]
+    at, n, owner = once
+    a, b, g_at, g_n, g_owner = grams
+    return pa.RecordBatch.from_arrays(
+        [*keys, *[_list(x, p.row, rows) for x in lists], _list(i64(p.a[fresh]), p.row[fresh], rows),
+         _list(_struct(at=at.astype(np.int32), n=n.astype(np.int32)), owner, rows),
+         _list(_struct(a=i64(a), b=i64(b), at=g_at.astype(np.int32), n=g_n.astype(np.int32)), g_owner, rows)],
+        _NAMES,
+    )
+
+
+_NONE = np.zeros(0, np.int64)
+
+
+def _first_parse(texts: DataFrame, longest: int) -> DataFrame:
     def go(batches):
         import pyarrow as pa
 
-        for b in batches:
-            words = b.column(2).to_numpy(zero_copy_only=False)
-            cut = np.searchsorted(np.cumsum(words, dtype=np.int64), np.arange(0, int(words.sum()) + 1, 2 * AT_ONCE))
-            cut = np.unique(np.append(cut, [0, b.num_rows]))
-            for first, last in zip(cut[:-1], cut[1:]):
-                part = b.slice(first, last - first)
-                n = part.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-                start = np.concatenate([[0], np.cumsum(n + 1)])  # one place more: blocks of two documents never meet
-                lo, ends = flat(part.column(3))
-                width, _ = flat(part.column(4))
-                row = np.repeat(np.arange(len(n)), np.diff(ends))
-                lo = lo + start[row]
-                again, ends2 = flat(part.column(5).fill_null([]))
-                doc = np.repeat(np.arange(len(n)), np.diff(ends2))
-                once = np.ones(len(lo), bool)
-                ok = again < np.diff(ends)[doc]  # others belong to a document that shares rid's upper bits
-                once[ends[doc[ok]] + again[ok]] = False
-                once[np.arange(len(lo)) - ends[row] >= ORD] = False
-                total = int(start[-1])
-                change = np.zeros(total + 1, np.int64)
-                np.add.at(change, np.maximum(start[row[once]], lo[once] + width[once] - size), 1)
-                np.add.at(change, lo[once] + 1, -1)
-                open_ = np.cumsum(change[:-1]) <= 0
-                edge = np.zeros(total + 1, np.int64)  # only places where a window starts
-                fits = n >= size
-                np.add.at(edge, start[:-1][fits], 1)
-                np.add.at(edge, start[:-1][fits] + n[fits] - size + 1, -1)
-                open_ &= np.cumsum(edge[:-1]) > 0
-                w = np.flatnonzero(open_)
-                if not len(w):
-                    continue
-                bound = np.zeros(total, bool)
-                bound[lo] = True
-                head = np.ones(len(w), bool)
-                head[1:] = bound[w[1:]] | (w[1:] != w[:-1] + 1)
-                s = np.flatnonzero(head)
-                e = np.append(s[1:], len(w))
-                # a block's first and last windows name all its words: it holds no more windows than a window words
-                more = -(-(e - s) // size)
-                which = np.repeat(np.arange(len(s)), more)
-                s2 = s[which] + size * (np.arange(len(which)) - np.repeat(np.cumsum(more) - more, more))
-                n2 = np.minimum(e[which] - s2, size)
-                owner = np.searchsorted(start, w[s2], side="right") - 1
-                docs = np.unique(owner)
-                bounds = np.append(np.searchsorted(owner, docs), len(owner)).astype(np.int32)
-                runs = pa.StructArray.from_arrays([pa.array((w[s2] - start[owner]).astype(np.int32)), pa.array(n2.astype(np.int32))], ["at", "n"])
-                some = part.select([0, 1]).take(pa.array(docs))
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.ListArray.from_arrays(bounds, runs)], ["id", "rid", "blocks"])
-
-    return parsed.select("id", "rid", "n", "lo", "width", "again").mapInArrow(go, "id long, rid long, blocks array<struct<at:int,n:int>>")
+        for batch in batches:
+            for first, own in _groups(batch.column(3)):
+                part = batch.slice(first, len(own))
+                p = Parse.of_words(own).rounds(0, FIRST_ROUNDS, longest)
+                n = np.array([len(a) for a, _ in own], np.int32)
+                keys = [part.column(0), part.column(1), part.column(2), pa.array(n)]
+                none = (_NONE, _NONE, _NONE)
+                yield _state(keys, p, none, (_NONE.view(U), _NONE.view(U), *none))
+
+    return texts.select("h1", "h2", "m", "text").mapInArrow(go, _STATE)
+
+
+def _merged(at: np.ndarray, n: np.ndarray, row: np.ndarray):
+    """The union of runs (at .. at + n - 1 of each row) as ascending runs with gaps between."""
+    if not len(at):
+        return _NONE, _NONE, _NONE
+    base = int((at + n).max()) + 2 - min(0, int(at.min()))
+    lo = row.astype(np.int64) * base + at
+    order = np.argsort(lo, kind="stable")
+    lo, hi = lo[order], (lo + n)[order]
+    top = np.maximum.accumulate(hi)
+    head = np.ones(len(lo), bool)
+    head[1:] = lo[1:] > top[:-1]
+    s = np.flatnonzero(head)
+    lo, hi = lo[s], top[np.append(s[1:], len(top)) - 1]
+    return lo % base, hi - lo, lo // base
+
+
+def _next_parse(state: DataFrame, size: int, done: int, longest: int | None) -> DataFrame:
+    """state with `again` (ordinals of the new symbols that are shared) -> the next state: new symbols that occur
+    once settle windows, shared ones as long as a window are kept as grams, and the shared ones go through more
+    rounds, if `longest` is given."""
 
+    def go(batches):
+        for whole in batches:
+            sizes = np.diff(whole.column(4).offsets.to_numpy())
+            cut = np.unique(np.append(np.searchsorted(np.cumsum(sizes, dtype=np.int64), np.arange(0, int(sizes.sum()) + 1, AT_ONCE)), [0, whole.num_rows]))
+            for lo_row, hi_row in zip(cut[:-1], cut[1:]):
+                yield step(whole.slice(lo_row, hi_row - lo_row))
+
+    def step(t):
+        keys = [t.column(k) for k in range(4)]
+        n = keys[3].to_numpy(zero_copy_only=False).astype(np.int64)
+        (a, row), (b, _), (start, _), (width, _), (before, _), (after, _), (first, _), (last, _), (kind, _) = (_flat(t.column(k)) for k in range(4, 13))
+        p = Parse(row=row, a=a.view(U), b=b.view(U), start=start, end=start + width, lo=start - before, hi=start + width + after, first=first, last=last, kind=kind.copy())
+        fresh = np.flatnonzero(p.kind == FRESH)
+        asked = np.bincount(row[fresh], minlength=len(n))
+        head = np.cumsum(asked) - asked
+        again, doc = _flat(t.column(16).fill_null([]))
+        known = np.arange(len(fresh)) - np.repeat(head, asked) >= ORD
+        ok = again < asked[doc]  # others belong to a text that shares the key's upper bits
+        known[head[doc[ok]] + again[ok]] = True
+        p.kind[fresh] = np.where(known, SHARED, FENCE)
+        alone, shared = fresh[~known], fresh[known]
+        # a context that reaches over the text's border lies in no window
+        alone = alone[(p.lo[alone] >= 0) & (p.hi[alone] <= n[row[alone]]) & (p.hi[alone] - p.lo[alone] <= size)]
+        least = np.maximum(0, p.hi[alone].astype(np.int64) - size)
+        at, count, owner = _flat(t.column(14), "at", "n")
+        once = _merged(np.concatenate([at, least]), np.concatenate([count, p.lo[alone] - least + 1]), np.concatenate([owner, row[alone]]))
+        g = shared[p.end[shared] - p.start[shared] >= size]
+        ga, gb, g_at, g_n, g_row = _flat(t.column(15), "a", "b", "at", "n")
+        rows = np.concatenate([g_row, row[g]])
+        order = np.argsort(rows, kind="stable")
+        grams = [
+            np.concatenate(x)[order]
+            for x in ((ga.view(U), p.a[g]), (gb.view(U), p.b[g]), (g_at, p.start[g]), (g_n, p.end[g] - p.start[g] - size + 1))
+        ]
+        p = p.take(p.growing() if longest else _NONE)
+        if longest:
+            p.rounds(done, ROUNDS, longest)
+        return _state(keys, p, once, (*grams, rows[order]))
+
+    return state.select(*_NAMES, "again").mapInArrow(go, _STATE)
+
+
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """(h1, h2, m, text): each text once, with the number of rows that hold it."""
+    return _keyed(docs).groupBy(*_KEY).agg(F.count("*").alias("m"), F.first("text").alias("text"))
+
+
+def _shared_names(state: DataFrame) -> DataFrame:
+    """(high, again): the round's table of names, those with two places or more in the corpus, as the ordinals of
+    every text's new symbols that have them."""
+    high = F.col("h1").bitwiseAND(F.lit(~ORD)).alias("high")
+    asked = state.select(high, "m", F.posexplode("ask").alias("nth", "name"))
+    names = asked.groupBy("name").agg(F.sum("m").alias("n"), F.count("*").alias("k")).filter("n > 1").select("name", "k")
+    names = durable(names, "names")
+    total = state.agg(F.sum(F.size("ask"))).first()[0] or 0
+    places = asked.filter(F.col("nth") < ORD).select("name", F.col("high").bitwiseOR(F.col("nth")).alias("place"))
+    places = met(places, names, ["name"], "k", total).select("place")
+    again = places.groupBy(F.col("place").bitwiseAND(F.lit(~ORD)).alias("high"))
+    out = durable(again.agg(F.collect_list(F.col("place").bitwiseAND(F.lit(ORD)).cast("int")).alias("again")), "again")
+    forget(names)
+    return out
+
+
+def _recompressed(texts: DataFrame, size: int) -> DataFrame:
+    """(h1, h2, m, n, once, grams) of every text after all rounds: windows (at, n) that occur once, and shared symbols
+    as long as a window (name a b, its windows at, n)."""
+    longest = max(3, size // 3)
+    state, done = durable(_first_parse(texts, longest), "parse"), FIRST_ROUNDS
+    while True:
+        again = _shared_names(state)
+        high = F.col("h1").bitwiseAND(F.lit(~ORD)).alias("high")
+        longest = longest * 2 if longest < REACH * size else None
+        new = durable(_next_parse(state.select("*", high).join(again, "high", "left"), size, done, longest), "parse")
+        forget(state, again)
+        state, done = new, done + ROUNDS
+        if longest is None:
+            return state
+
+
+def _revealed(state: DataFrame, size: int) -> DataFrame:
+    """state -> (h1, h2, n, settled, speak, open): windows (at, n) that repeats hold, those of them for which this
+    place speaks, and windows that nothing settles. A text that several rows hold is one gram as a whole."""
+    fits = F.col("n") >= size
+    whole = F.array(F.struct(F.col("h1").alias("a"), F.col("h2").alias("b"), F.lit(0).alias("at"), (F.col("n") - size + 1).alias("n")))
+    # whole texts, by their hashes, have names of their own
+    mine = F.when(fits & (F.col("m") > 1), whole).otherwise(F.col("grams"))
+    named = durable(state.select(*_KEY, (F.col("m") > 1).alias("sure"), F.inline(mine)).withColumnRenamed("n", "len"), "grams")
+    first = F.min(F.struct("h1", "h2", "at")).alias("speaker")
+    counted = durable(named.groupBy("a", "b").agg(F.count("*").alias("k"), first, F.max("sure").alias("any")).filter("k > 1 OR any").drop("any"), "counted")
+    found = met(named, counted, ["a", "b"], "k", named.count())
+    speaks = F.col("speaker") == F.struct("h1", "h2", "at")
+    runs = found.groupBy(*_KEY).agg(F.collect_list(F.struct("at", F.col("len").alias("n"), speaks.alias("speaks"))).alias("found"))
+    joined = state.select(*_KEY, "n", "once").join(runs, _KEY, "left")
 
-def _named_blocks(open_docs: DataFrame, size: int) -> DataFrame:
-    """(ga, gb, id, rid, at, a, b): the blocks' names and places, and their windows' names."""
+    def go(batches):
+        for t in batches:
+            words = t.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            at, n, row = _flat(t.column(3), "at", "n")
+            f_at, f_n, speaks, f_row = _flat(t.column(4).fill_null([]), "at", "n", "speaks")
+            settled = _merged(f_at, f_n, f_row)
+            top = _outermost(f_at, f_n, f_row)
+            top = top[speaks[top]]
+            speak = _merged(f_at[top], f_n[top], f_row[top])
+            known = _merged(*(np.concatenate([x, y]) for x, y in zip((at, n, row), settled)))
+            yield _runs_batch(t, settled, speak, _gaps(*known, words - size + 1))
+
+    schema = f"h1 long, h2 long, n int, settled {_RUNS}, speak {_RUNS}, open {_RUNS}"
+    out = durable(joined.mapInArrow(go, schema), "revealed")
+    forget(named, counted)
+    return out
+
+
+def _outermost(at: np.ndarray, n: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The runs that lie in no other of their row (of equal ones, the first)."""
+    order = np.lexsort((-n, at, row))
+    if not len(order):
+        return order
+    base = int((at + n).max()) + 1
+    end = row[order].astype(np.int64) * base + (at + n)[order]
+    before = np.concatenate([[-1], np.maximum.accumulate(end)[:-1]])
+    return order[end > before]
+
+
+def _gaps(at: np.ndarray, n: np.ndarray, row: np.ndarray, many: np.ndarray):
+    """What the ascending, separate runs leave of the places 0 .. many - 1 of each row."""
+    rows = np.arange(len(many))
+    lo = np.concatenate([np.zeros(len(many), np.int64), at + n])
+    hi_row = np.concatenate([rows, row])
+    order = np.lexsort((lo, hi_row))
+    lo, owner = lo[order], hi_row[order]
+    # each gap ends where the row's next run starts, or at the row's end
+    ends_row = np.concatenate([row, rows])
+    ends = np.concatenate([at, np.maximum(many, 0)])
+    order = np.lexsort((ends, ends_row))
+    hi = ends[order]
+    keep = hi > lo
+    return lo[keep], (hi - lo)[keep], owner[keep]
+
+
+def _runs_batch(t, *lists):
+    import pyarrow as pa
+
+    rows = t.num_rows
+    cols = [_list(_struct(at=at.astype(np.int32), n=n.astype(np.int32)), row, rows) for at, n, row in lists]
+    return pa.RecordBatch.from_arrays([t.column(0), t.column(1), t.column(2), *cols], ["h1", "h2", "n", "settled", "speak", "open"])
+
+
+def _named_blocks(texts: DataFrame, size: int) -> DataFrame:
+    """texts with runs `open` and `speak` -> (ga, gb, h1, h2, at, own, a, b): the runs' windows in blocks, with the
+    blocks' names, whether they are open, and the windows' names. Blocks are cut by the words' hashes, so repeats are
+    cut alike but at their ends."""
 
     def go(batches):
         import pyarrow as pa
 
         for batch in batches:
-            blocks = batch.column(3)
             for first, own in _groups(batch.column(2)):
                 part = batch.slice(first, len(own))
-                n = np.array([len(x) for x in own], np.int64)
+                n = np.array([len(a) for a, _ in own], np.int64)
                 start = np.concatenate([[0], np.cumsum(n)])
-                words = np.concatenate(own)
-                runs = blocks.slice(first, len(own))
-                ends = runs.offsets.to_numpy().astype(np.int64)
-                at, size_of = (f.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].astype(np.int64) for f in (runs.values.field(0), runs.values.field(1)))
-                doc = np.repeat(np.arange(len(own)), np.diff(ends))
-                s = np.cumsum(size_of) - size_of
-                w = np.repeat(at + start[doc] - s, size_of) + np.arange(int(size_of.sum()))
-                a, b = window_hashes(words, w, size)
-                e = s + size_of - 1
-                count = size_of.astype(U)
-                ga, gb = stir(a[s] + stir(a[e] + count)), stir(b[s] + stir(b[e] ^ stir(count)))
-                bounds = np.append(s, len(w)).astype(np.int32)
+                wa, wb = (np.concatenate([x[k] for x in own]) for k in (0, 1))
+                (o_at, o_n, o_row), (s_at, s_n, s_row) = (_flat(part.column(k).fill_null([]), "at", "n") for k in (3, 4))
+                at, count, row = (np.concatenate(x).astype(np.int64) for x in ((o_at, s_at), (o_n, s_n), (o_row, s_row)))
+                if not len(at):
+                    continue
+                is_open = np.arange(len(at)) < len(o_at)
+                run = np.repeat(np.arange(len(at)), count)
+                head = np.cumsum(count) - count
+                w = (at + start[row])[run] + np.arange(len(run)) - head[run]
+                cut = (wa[w] & _CUT) == 0
+                cut[head] = True
+                s = np.flatnonzero(cut)
+                e = np.append(s[1:], len(w))
+                # a block's first and last windows name all its words: it holds no more windows than a window words
+                more = -(-(e - s) // size)
+                which = np.repeat(np.arange(len(s)), more)
+                s2 = s[which] + size * (np.arange(len(which)) - np.repeat(np.cumsum(more) - more, more))
+                e2 = np.minimum(e[which], s2 + size)
+                a, b = window_hashes(wa, wb, w, size)
+                many = (e2 - s2).astype(U)
+                ga, gb = stir(a[s2] + stir(a[e2 - 1] + many)), stir(b[s2] + stir(b[e2 - 1] ^ stir(many)))
+                bounds = np.append(s2, len(w)).astype(np.int32)
+                doc = row[run[s2]]
                 keys = part.select([0, 1]).take(pa.array(doc))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ga.view(np.int64)), pa.array(gb.view(np.int64)), keys.column(0), keys.column(1), pa.array(at.astype(np.int32)),
+                    [pa.array(ga.view(np.int64)), pa.array(gb.view(np.int64)), keys.column(0), keys.column(1),
+                     pa.array((w[s2] - start[doc]).astype(np.int32)), pa.array(is_open[run[s2]]),
                      *[pa.ListArray.from_arrays(bounds, x.view(np.int64)) for x in (a, b)]],
-                    ["ga", "gb", "id", "rid", "at", "a", "b"],
+                    ["ga", "gb", "h1", "h2", "at", "own", "a", "b"],
                 )
 
-    schema = "ga long, gb long, id long, rid long, at int, a array<long>, b array<long>"
-    small = open_docs.select("id", "rid", "text", "blocks")
-    return small.mapInArrow(go, schema)
+    schema = "ga long, gb long, h1 long, h2 long, at int, own boolean, a array<long>, b array<long>"
+    return texts.select(*_KEY, "text", "open", "speak").mapInArrow(go, schema)
 
 
 def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(id, rid, runs): for documents with repeats, ranges (at, n): windows that start at words at .. at + n - 1."""
-    keyed = _keyed(docs)
-    parsed = durable(_parsed(keyed, size), "parsed")
-    high = F.col("rid").bitwiseAND(F.lit(~ORD))
-    named = parsed.select(high.alias("high"), F.posexplode("name").alias("nth", "name")).filter(F.col("nth") < ORD)
-    named = named.select("name", F.col("high").bitwiseOR(F.col("nth")).alias("place"))
-    twice = named.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name")
-    places = named.join(twice, "name", "left_semi").select("place")
-    again = durable(
-        places.groupBy(F.col("place").bitwiseAND(F.lit(~ORD)).alias("high"))
-        .agg(F.collect_list(F.col("place").bitwiseAND(F.lit(ORD)).cast("int")).alias("again")), "again"
-    )
-    open_ = durable(_open_blocks(parsed.withColumn("high", high).join(again, "high", "left"), size), "open")
-    forget(parsed, again)
-    blocks = durable(_named_blocks(keyed.join(open_, ["id", "rid"]), size), "blocks")
-    forget(open_)
-    place = F.struct("id", "rid", "at")
-    counted = blocks.select("ga", "gb", "id", "rid", "at").groupBy("ga", "gb").agg(F.count("*").alias("n"), F.min(place).alias("speaker")).filter("n > 1").drop("n")
-    joined = blocks.join(counted, ["ga", "gb"], "left")
+    """(h1, h2, runs): for texts with repeats, ranges (at, n): windows that start at words at .. at + n - 1."""
+    texts = durable(_texts(docs), "texts")
+    state = _recompressed(texts, size)
+    shown = _revealed(state, size)
+    forget(state)
+    ask = shown.filter((F.size("open") > 0) | (F.size("speak") > 0)).select(*_KEY, "open", "speak")
+    blocks = durable(_named_blocks(texts.join(ask, _KEY), size), "blocks")
+    forget(texts)
+    place = F.struct("h1", "h2", "at")
+    counted = blocks.groupBy("ga", "gb").agg(F.count("*").alias("k"), F.min(place).alias("speaker")).filter("k > 1")
+    counted = durable(counted, "counted")
+    joined = met(blocks, counted, ["ga", "gb"], "k", blocks.count(), "left")
     speaks = F.col("speaker").isNull() | (F.col("speaker") == place)
-    settled = F.col("speaker").isNotNull()
     judged = durable(joined.select(
-        "id", "rid", "at", F.size("a").alias("n"), settled.alias("settled"),
+        "h1", "h2", "at", "own", F.size("a").alias("n"), F.col("speaker").isNotNull().alias("settled"),
         F.when(speaks, F.arrays_zip("a", "b")).alias("windows"),
     ), "judged")
-    forget(blocks)
-    windows = judged.filter("windows IS NOT NULL").select("id", "rid", "at", "settled", F.posexplode("windows").alias("k", "w")).select(
-        "id", "rid", (F.col("at") + F.col("k")).alias("at"), "settled", F.col("w.a").alias("a"), F.col("w.b").alias("b")
+    forget(blocks, counted)
+    windows = judged.filter("windows IS NOT NULL").select(*_KEY, "at", F.expr("own AND NOT settled").alias("ask"), F.posexplode("windows").alias("k", "w")).select(
+        *_KEY, (F.col("at") + F.col("k")).alias("at"), "ask", F.col("w.a").alias("a"), F.col("w.b").alias("b")
     )
-    again = windows.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b")
-    singles = windows.filter(~F.col("settled")).join(again, ["a", "b"], "left_semi").select("id", "rid", "at", F.lit(1).alias("n"))
-    runs = judged.filter("settled").select("id", "rid", "at", "n").unionByName(singles)
-    return durable(runs.groupBy("id", "rid").agg(F.collect_list(F.struct("at", "n")).alias("runs")), "runs")
+    again = windows.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("ask").alias("any")).filter("n > 1 AND any").select("a", "b", "n")
+    again = durable(again, "windows")
+    total = judged.filter("windows IS NOT NULL").agg(F.sum("n")).first()[0] or 0
+    singles = met(windows.filter("ask"), again, ["a", "b"], "n", total).select(*_KEY, "at", F.lit(1).alias("n"))
+    runs = judged.filter("own AND settled").select(*_KEY, "at", "n").unionByName(singles).unionByName(shown.select(*_KEY, F.inline("settled")))
+    out = durable(runs.groupBy(*_KEY).agg(F.collect_list(F.struct("at", "n")).alias("runs")), "runs")
+    forget(shown, judged, again)
+    return out
 
 
 def substring_dedup(docs: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -224,7 +390,7 @@ def substring_dedup(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     text are documents of their own (and so repeat each other); an empty table gives an empty result;
     extra columns are ignored."""
     runs = repeated_windows(docs, size)
-    joined = _keyed(docs).join(runs, ["id", "rid"], "left")
+    joined = _keyed(docs).join(runs, _KEY, "left")
 
     def go(batches):
         import pyarrow as pa
