@@ -1,7 +1,7 @@
 """Exact substring dedup by recompression: every window of WINDOW words that starts at two places or more goes.
 
 1. Equal texts are one, with their number. Rounds of recompression (see recompress.py) name runs and pairs: a first
-   parse within each text up to a third of a window, then Spark rounds that double the symbols' greatest length until
+   parse within each text up to a third of a window, then Spark rounds that triple the symbols' greatest length until
    it is sixteen windows. Each round's new names are counted over the whole corpus, and the table of those that occur
    at two places or more decides what goes on: shared symbols pair up in the next round, symbols that occur once
    become fences. A window that covers the context of a symbol that occurs once occurs once itself and is settled.
@@ -26,9 +26,11 @@ from .recompress import FENCE, FRESH, SHARED, Parse, U, stir, window_hashes, wor
 
 WINDOW = 35
 #: Rounds within a text before the first count, and rounds between two counts.
-FIRST_ROUNDS, ROUNDS = 6, 2
+FIRST_ROUNDS, ROUNDS = 6, 3
 #: A symbol's greatest length, in windows, at which rounds end: longer repeats are met at the seams of such symbols.
 REACH = 16
+#: How much longer symbols may be at each count.
+GROWTH = 3
 #: Words that a worker parses at a time; a longer text is parsed alone.
 AT_ONCE = 250_000
 #: Low bits of a packed place: the symbol's ordinal among its text's new ones. Later ones are taken as shared.
@@ -225,7 +227,7 @@ def _recompressed(texts: DataFrame, size: int) -> DataFrame:
     while True:
         again = _shared_names(state)
         high = F.col("h1").bitwiseAND(F.lit(~ORD)).alias("high")
-        longest = longest * 2 if longest < REACH * size else None
+        longest = longest * GROWTH if longest < REACH * size else None
         new = durable(_next_parse(state.select("*", high).join(again, "high", "left"), size, done, longest), "parse")
         forget(state, again)
         state, done = new, done + ROUNDS
