@@ -1,24 +1,9 @@
 """The same results as SQL, where SQL can say them."""
 
-#: Runs of three or more lines with a word that an earlier place holds.
+#: Runs of three or more lines with a word that an earlier place holds, and of one or two that hold 50 words or more.
 OP6 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, i, lines[i] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)),
-u AS (SELECT doc_id, i, line, lead(line, 1) OVER w AS l2, lead(line, 2) OVER w AS l3, lead(i, 2) OVER w AS i3
-      FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-r AS (SELECT doc_id, i, i3, row_number() OVER (PARTITION BY line, l2, l3 ORDER BY doc_id, i) AS k FROM u WHERE i3 IS NOT NULL),
-g AS (SELECT DISTINCT u.doc_id, u.i FROM u JOIN r ON u.doc_id = r.doc_id AND u.i BETWEEN r.i AND r.i3 AND r.k > 1),
-k AS (SELECT l.doc_id, count(g.i) AS n_removed,
-             coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS kept
-      FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id)
-SELECT d.doc_id, len(d.lines)::BIGINT AS n_lines, k.n_removed::BIGINT AS n_removed, sha256(k.kept) AS kept_sha256
-FROM d JOIN k ON d.doc_id = k.doc_id
-"""
-
-#: OP6, and runs of one or two such lines that hold 50 words or more.
-OP6_SHORT_RUNS = r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-l AS (SELECT doc_id, i, lines[i] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)),
 u AS (SELECT *, lead(line, 1) OVER w AS l2, lead(line, 2) OVER w AS l3, lead(i, 1) OVER w AS i2, lead(i, 2) OVER w AS i3, lead(n, 1) OVER w AS n2
       FROM (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l) WHERE n > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 r AS (SELECT doc_id, i, i3 AS j, row_number() OVER (PARTITION BY line, l2, l3 ORDER BY doc_id, i) AS k FROM u WHERE i3 IS NOT NULL
@@ -132,5 +117,4 @@ SQL: dict[str, str] = {
     "op3_substring_dedup": OP3,
     "op4_embedding_near_dedup": OP4,
     "op6_line_dedup": OP6,
-    "op6_line_dedup_short_runs": OP6_SHORT_RUNS,
 }

@@ -54,13 +54,6 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .linededup import line_dedup
-
-    out = line_dedup(docs_table(spark, sf_dir))
-    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
-
-
-def op6_line_dedup_short_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import MIN_WORDS, line_dedup
 
     out = line_dedup(docs_table(spark, sf_dir), min_words=MIN_WORDS)
@@ -112,7 +105,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_embedding_near_dedup": op4_embedding_near_dedup,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_line_dedup": op6_line_dedup,
-        "op6_line_dedup_short_runs": op6_line_dedup_short_runs,
         "op7_source_mixing": op7_source_mixing,
         "op8_pii_pseudonyms": op8_pii_pseudonyms,
         "op9_sentencepiece_round_trip": op9_sentencepiece_round_trip,

@@ -45,24 +45,22 @@ def test_long_runs_of_few_lines(spark, table, words):
     assert got == {0: (long, 0), 1: ("", 1), 2: (texts[2], 0), 3: ("own\nother", 2), 4: (half, 0), 5: (half, 0), 6: ("short", 1)}
 
 
-def test_short_runs_match_sql(spark):
+def test_query_matches_sql(spark):
     import duckdb
     import pytest
 
     from seamgraph.llm.queries import oracle_sql, queries
 
     path = "/root/testdata/sf0.01"
-    name = "op6_line_dedup_short_runs"
     con = duckdb.connect()
     try:
         con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/documents.parquet')")
     except duckdb.IOException:
         pytest.skip("needs the driver's tables")
-    got = queries()[name](spark, path)
-    cols = got.columns
-    want = con.execute(oracle_sql()[name]).fetchall()
-    assert sorted(map(tuple, got.collect())) == sorted(want) and cols == [c[0] for c in con.description]
-    assert sum(r[2] for r in want) > sum(r[2] for r in con.execute(oracle_sql()["op6_line_dedup"]).fetchall())
+    got = queries()["op6_line_dedup"](spark, path)
+    want = con.execute(oracle_sql()["op6_line_dedup"]).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and got.columns == [c[0] for c in con.description]
+    assert sum(r[2] for r in want) > 0
 
 
 def test_the_pipeline_drops_copies_of_one_line(spark, table, words):
@@ -72,3 +70,22 @@ def test_the_pipeline_drops_copies_of_one_line(spark, table, words):
     long = " ".join(words * 3)
     got = {r["doc_id"]: r["text"] for r in dict(pipeline.STAGES)["line dedup"](spark, table([long, long]), "").collect()}
     assert got == {0: long, 1: ""}
+
+
+def test_repeated_rows_and_maps(spark):
+    rows = [(None, "a\nb\nc", {"k": 1}, "x"), (None, "a\nb\nc", {"k": 1}, "x"), (None, "a\nb\nc", {"k": 1}, "x"), (3, "p\nq", None, None), (3, "p\nq", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra map<string,int>, runs string")
+    got = line_dedup(docs)
+    assert got.columns == [*docs.columns, "n_lines", "n_removed"]
+    # one of the equal rows stays; two lines are no run
+    assert sorted((r["doc_id"] or 0, r["text"], r["n_removed"]) for r in got.collect()) == [(0, "", 3), (0, "", 3), (0, "a\nb\nc", 0), (3, "p\nq", 0), (3, "p\nq", 0)]
+
+
+def test_only_chosen_units_are_kept_and_extension_finds_the_runs(spark, table):
+    from pyspark.sql import functions as F
+    from seamgraph.llm.linededup import _keyed, fingerprints
+
+    text = "\n".join(f"line {k} of many" for k in range(300))
+    marks = fingerprints(_keyed(table([text])), 3, None)
+    n = marks.count()
+    assert n < 200 and marks.agg(F.sum(F.size("ways"))).first()[0] == 298  # every window chose one unit
