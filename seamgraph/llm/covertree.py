@@ -1,12 +1,16 @@
 """Embedding near-dedup by dual traversal of cover trees.
 
-Unit vectors with cosine c are sqrt(2 - 2 c) apart, so links are the pairs within a distance. The tree's
-top is a few pivots with the vectors nearest to each; a pivot's vectors are dealt into blocks of bounded
-size, and each block carries a cover tree of nested levels whose radii halve. Pairs of blocks, then of
-nodes level by level, are dropped when their centres are farther apart than the distance plus both
-covering radii, which are measured, not nominal; they are accepted whole, without listing their members,
-when even the farthest members must be within it. What is left is compared in double precision. Each
-block pair is one bounded task, so a cluster with a third of all vectors is many tasks.
+Unit vectors with cosine c are sqrt(2 - 2 c) apart, so links are the pairs within a distance. The tree's upper levels are
+nested balls of halving radii (1, 1/2, 1/4, ...) about centres, a net of a bounded sample of the vectors: a vector belongs
+to the least such ball of its nearest centre. Vectors beyond radius 1 of every centre are one node without bounds. A
+node's vectors are dealt into blocks of bounded size, and each block carries the lower levels, whose radii halve again.
+Pairs of upper nodes, then of nodes level by level, are dropped when their centres are farther apart than the distance
+plus both covering radii (and, about one centre, when their rings are), which are measured, not nominal; they are accepted
+whole, without listing their members, when even the farthest members must be within it. What is left is compared in
+double precision. Each block pair is one bounded task, so a cluster with a third of all vectors is many tasks.
+
+The sample only decides how well the tree prunes: every vector is in it, and no pair is lost. Vectors without any
+structure (spread evenly over many dimensions) can't be pruned by covering radii: their blocks all stay open.
 
 Counts of links are added up from both kinds; of the links themselves a spanning forest of each task goes
 on to the components.
@@ -20,25 +24,61 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, forget
 from .components import connected_components
 from .simhash import _forest
 
 COSINE = 0.9
-PIVOTS = 16
+#: Vectors from which the upper levels' centres are taken, those with the least hashes; of 256 components, fewer if they have more.
+SAMPLE = 8192
+#: Centres at most: those that most vectors of the sample are near to.
+CENTRES = 1024
+#: A ball with less than a block's rows over this is no node of its own.
+SMALL = 16
+#: Balls about a centre: radii 1, 1/2, ... 2^-4.
+RINGS = 5
 BLOCK_ROWS = 4096
 #: Radii of the levels below a block; the last level is the vectors themselves. Wider nodes than these bound nothing:
 #: two of radius 1 stay open at any distance that unit vectors without likeness have.
 RADII = (0.5, 0.25)
 _EPS = 1e-9
+#: Room for the error of distances that are taken from cosines.
+_ROOM = 1e-6
 #: Row pairs from which a pair of nodes is worth accepting whole.
 WHOLE = 64
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1)[:, None]  # squares of very large or small components stay in range
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
+def net(x: np.ndarray, radius: float, most: int, least: int = 2) -> np.ndarray:
+    """Of the unit rows of x, no two within the radius of each other, those that have `least` rows within it: at
+    most so many, those with most."""
+    near = 1 - radius * radius / 2
+    centres, count, n = np.empty_like(x), np.zeros(len(x), np.int64), 0
+    for lo in range(0, len(x), 512):
+        part = x[lo : lo + 512]
+        left = np.arange(len(part))
+        if n:
+            cos = part @ centres[:n].T
+            best = cos.argmax(1)
+            held = cos[left, best] >= near
+            np.add.at(count, best[held], 1)
+            left = left[~held]
+        inner = part[left] @ part[left].T >= near
+        free = np.ones(len(left), bool)
+        for k in range(len(left)):
+            if free[k]:
+                mine = free & inner[k]
+                centres[n], count[n] = part[left[k]], mine.sum()
+                free &= ~mine
+                n += 1
+    order = np.argsort(-count[:n], kind="stable")
+    return centres[order[count[order] >= least][:most]]
+
+
 def owners(x: np.ndarray) -> list[np.ndarray]:
     """Of each row its centre's row, level by level: within a node the first free row takes all free rows
     within the radius."""
@@ -226,74 +266,114 @@ def _matrix(col) -> np.ndarray:
     return np.asarray(flat.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(flat), -1)
 
 
-def _placed(points: DataFrame, pivots: list, block_rows: int) -> DataFrame:
-    """points plus dim, pivot and gap: the nearest pivot of the same length (-1 if none) and its distance."""
-    own = {}
-    for v in pivots:
-        own.setdefault(len(v), []).append(v)
-    table = {d: unit(np.array(v, np.float64)) for d, v in own.items()}
-
-    def go(batches):
-        import pyarrow as pa
+def _centres(points: DataFrame, sample: int, most: int, block_rows: int) -> dict[int, np.ndarray]:
+    """By the vectors' length: the centres of the upper levels, nets of radius 1/2 and 1 with so many of the sample about
+    them that they promise an eighth of a block."""
+    import pyarrow as pa
+
+    longest, n = points.agg(F.max(F.size("x")), F.count("*")).first()
+    take = points.orderBy(F.xxhash64(F.lit(3), "h"), "h").limit(max(256, sample * 256 // max(256, longest or 1))).select("x").toArrow().column("x").combine_chunks()
+    least = max(2, math.ceil(len(take) * block_rows / 8 / max(1, n)))
+    size = take.value_lengths().to_numpy(zero_copy_only=False)
+    out = {}
+    for d in np.unique(size):
+        x = unit(_matrix(take.filter(pa.array(size == d))))
+        found = np.concatenate([net(x, r, most // 2, least) for r in (0.5, 1.0)])
+        if len(found):
+            out[int(d)] = found
+    return out
 
-        for b in batches:
-            size = b.column(2).value_lengths().to_numpy(zero_copy_only=False)
-            pivot, gap = np.full(len(size), -1, np.int64), np.full(len(size), 2.0)
-            for d in np.unique(size):
-                at = np.flatnonzero(size == d)
-                if int(d) in table:
-                    x = unit(_matrix(b.column(2).take(pa.array(at))))
-                    cos = x @ table[int(d)].T
-                    pivot[at] = cos.argmax(1)
-                    gap[at] = np.sqrt(np.maximum(0, 2 - 2 * cos.max(1)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(size.astype(np.int64)), pa.array(pivot), pa.array(gap)], ["node", "weight", "x", "dim", "pivot", "gap"])
 
-    return points.select("node", "weight", "x").mapInArrow(go, "node long, weight long, x array<float>, dim long, pivot long, gap double")
+def _placed(points: DataFrame, table: dict[int, np.ndarray], kind: str) -> DataFrame:
+    """points plus dim, centre, ring and gap: the nearest centre of the same length, its distance and the ball
+    about it; centre and ring are -1 if none is within 1."""
 
+    def go(batches):
+        import pyarrow as pa
 
-def _pair_blocks(placed: DataFrame, pivots: list, cosine: float, block_rows: int) -> DataFrame:
-    """(block, other): block pairs that the top of the tree leaves open, each in both orders, and own pairs."""
-    far = math.sqrt(2 - 2 * cosine)
-    sized = placed.groupBy("dim", "pivot").agg(F.count("*").alias("n"), F.max("gap").alias("r"))
-    blocks = sized.withColumn("k", F.ceil(F.col("n") / block_rows).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    blocks = blocks.select("dim", "pivot", "r", F.struct("dim", "pivot", "part").alias("block"))
-    own = {}
-    for v in pivots:
-        own.setdefault(len(v), []).append(v)
-    rows = [
-        (d, i, j, float(np.linalg.norm(u[i] - u[j]))) for d, v in own.items() for u in [unit(np.array(v, np.float64))] for i in range(len(u)) for j in range(len(u))
-    ]
-    gaps = placed.sparkSession.createDataFrame([(d, -1, -1, 0.0) for d in [0]] + rows, "dim long, p long, q long, d double")
-    a, b = blocks.alias("a"), blocks.alias("b")
-    open_ = a.join(F.broadcast(gaps).alias("g"), (F.col("a.dim") == F.col("g.dim")) & (F.col("a.pivot") == F.col("g.p"))).join(
-        b, (F.col("b.dim") == F.col("g.dim")) & (F.col("b.pivot") == F.col("g.q")) & (F.col("g.d") <= F.col("a.r") + F.col("b.r") + far + _EPS)
+        for whole in batches:
+            for first in range(0, whole.num_rows, 2048):
+                b = whole.slice(first, 2048)
+                size = b.column(2).value_lengths().to_numpy(zero_copy_only=False)
+                centre, ring, gap = np.full(len(size), -1, np.int64), np.full(len(size), -1, np.int64), np.full(len(size), 2.0)
+                for d in np.unique(size):
+                    at = np.flatnonzero(size == d)
+                    if int(d) in table:
+                        cos = unit(_matrix(b.column(2).take(pa.array(at)))) @ table[int(d)].T
+                        far = np.sqrt(np.maximum(0, 2 - 2 * cos.max(1)))
+                        in_ball = far <= 1
+                        at, far, cos = at[in_ball], far[in_ball], cos[in_ball]
+                        centre[at], gap[at] = cos.argmax(1), far
+                        ring[at] = np.minimum(RINGS - 1, np.floor(-np.log2(np.maximum(far, 1e-9)))).astype(np.int64)
+                cols = [pa.array(size.astype(np.int64)), pa.array(centre), pa.array(ring), pa.array(gap)]
+                yield pa.RecordBatch.from_arrays([*b.columns, *cols], ["node", "weight", "x", "dim", "centre", "ring", "gap"])
+
+    return points.select("node", "weight", "x").mapInArrow(go, f"node long, weight long, x array<{kind}>, dim long, centre long, ring long, gap double")
+
+
+def _homes(placed: DataFrame, block_rows: int) -> DataFrame:
+    """(dim, centre, ring, home, own, near, far, k): of each ball its upper node (home and own: its centre and ring, or -1
+    if it holds too few vectors to be one), the node's least and largest distance from its centre, and its k blocks."""
+    sized = placed.groupBy("dim", "centre", "ring").agg(F.count("*").alias("n"), F.min("gap").alias("near"), F.max("gap").alias("far"))
+    few = F.col("n") * SMALL < block_rows
+    own = sized.select("*", F.when(few, -1).otherwise(F.col("centre")).alias("home"), F.when(few, -1).otherwise(F.col("ring")).alias("own"))
+    nodes = own.groupBy("dim", "home", "own").agg(F.min("near").alias("near"), F.max("far").alias("far"), F.ceil(F.sum("n") / block_rows).cast("int").alias("k"))
+    return own.drop("n", "near", "far").join(nodes, ["dim", "home", "own"])
+
+
+def _pair_blocks(homes: DataFrame, table: dict[int, np.ndarray], cosine: float) -> DataFrame:
+    """(block, other): block pairs that the upper levels leave open, each in both orders, and own pairs."""
+    import pyarrow as pa
+
+    reach = math.sqrt(2 - 2 * cosine) + _ROOM
+    nodes = homes.select("dim", "home", "own", "near", "far", "k").distinct()
+    wide = {(r["dim"], r["home"]): r["far"] for r in nodes.filter("home >= 0").groupBy("dim", "home").agg(F.max("far").alias("far")).collect()}
+    apart = []
+    for d, c in table.items():
+        r = np.array([wide.get((d, k), -9.0) for k in range(len(c))])
+        gap = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))
+        i, j = np.nonzero(gap <= r[:, None] + r + reach)
+        apart.append(pa.table({"d": np.full(len(i), d), "p": i, "q": j, "gap": gap[i, j]}))
+    none = pa.table({"d": np.zeros(0, np.int64), "p": np.zeros(0, np.int64), "q": np.zeros(0, np.int64), "gap": np.zeros(0)})
+    gaps = nodes.sparkSession.createDataFrame(pa.concat_tables([none, *apart]))
+    a, b = nodes.alias("a"), nodes.alias("b")
+    # balls of two centres are apart by the centres' distance less both radii, rings of one centre by their gap
+    within = (F.col("g.gap") <= F.col("a.far") + F.col("b.far") + reach) & (
+        (F.col("g.p") != F.col("g.q")) | ((F.col("a.near") <= F.col("b.far") + reach) & (F.col("b.near") <= F.col("a.far") + reach))
+    )
+    open_ = a.join(gaps.alias("g"), (F.col("a.dim") == F.col("g.d")) & (F.col("a.home") == F.col("g.p"))).join(
+        b, (F.col("b.dim") == F.col("g.d")) & (F.col("b.home") == F.col("g.q")) & within
     )
-    # vectors of a length that no pivot has are one pivot's
-    bare = a.filter("a.pivot < 0").join(b.filter("b.pivot < 0"), F.col("a.dim") == F.col("b.dim"))
-    pick = [F.col("a.block").alias("block"), F.col("b.block").alias("other")]
-    return open_.select(*pick).unionByName(bare.select(*pick))
+    loose = a.join(b, (F.col("a.dim") == F.col("b.dim")) & ((F.col("a.home") < 0) | (F.col("b.home") < 0)))
+    ends = [F.struct(f"{t}.dim", f"{t}.home", f"{t}.own").alias(t) for t in "ab"] + [F.col("a.k").alias("k"), F.col("b.k").alias("j")]
+    parts = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1)).alias("part")
+    block = lambda t: F.struct(f"{t}.dim", f"{t}.home", f"{t}.own", "part")
+    left = open_.select(*ends).unionByName(loose.select(*ends)).select("a", "b", "j", parts("k")).select(block("a").alias("block"), "b", "j")
+    return left.repartition("block").select("block", "b", parts("j")).select("block", block("b").alias("other"))
 
 
-def embedding_near_dups(table: DataFrame, cosine: float = COSINE, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def embedding_near_dups(table: DataFrame, cosine: float = COSINE, centres: int = CENTRES, block_rows: int = BLOCK_ROWS, sample: int = SAMPLE, report: dict | None = None) -> DataFrame:
     """embeddings -> (vec_id, n_links, component_id, kept), one row per vector.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do
-    vectors of different lengths. Equal vectors are compared once and count each. kept: vec_id is the
-    component's least. Repeated vec_ids are vectors of their own that share a name. A null vec_id is in
-    a component of that name only if it links with nothing named. An empty table gives an empty result;
-    extra columns are ignored."""
-    x = F.col("embedding").cast("array<float>")
+    vectors of different lengths. Components keep their precision: single stays single, all else is double.
+    Equal vectors are compared once and count each. kept: vec_id is the component's least. Repeated vec_ids are
+    vectors of their own that share a name. A null vec_id is in a component of that name only if it links with
+    nothing named. An empty table gives an empty result; extra columns are ignored. report receives how many
+    vectors, blocks and open block pairs there were."""
+    kind = "float" if table.schema["embedding"].dataType.elementType.typeName() == "float" else "double"
+    x = F.col("embedding").cast(f"array<{kind}>")
     rows = table.select(
         F.col("vec_id").cast("long").alias("vec_id"), F.when(_valid(x), x).alias("x"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(5), x).alias("k")
     )
     classes = rows.filter("x IS NOT NULL").groupBy("h", "k").agg(F.first("x").alias("x"), F.count("*").alias("weight"), F.min("vec_id").alias("least"))
     points = durable(classes.withColumn("node", F.monotonically_increasing_id()), "vectors")
-    chosen = [list(r[0]) for r in points.orderBy(F.xxhash64(F.lit(3), "h"), "h").limit(pivots).select("x").collect()]
-    placed = durable(_placed(points, chosen, block_rows), "placed")
-    sizes = placed.groupBy("dim", "pivot").agg(F.ceil(F.count("*") / block_rows).alias("k"))
+    top = _centres(points, sample, centres, block_rows)
+    placed = durable(_placed(points, top, kind), "placed")
+    homes = durable(_homes(placed, block_rows), "homes")
     part = F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("part")
-    dealt = placed.join(sizes, ["dim", "pivot"]).select("node", "weight", "x", F.struct("dim", "pivot", part).alias("block"))
-    partners = _pair_blocks(placed, chosen, cosine, block_rows).groupBy("block").agg(F.collect_set("other").alias("others"))
+    dealt = placed.join(homes, ["dim", "centre", "ring"]).select("node", "weight", "x", F.struct("dim", "home", "own", part).alias("block"))
+    pairs = durable(_pair_blocks(homes, top, cosine), "block-pairs")
     def grow(t):
         import pyarrow as pa
 
@@ -304,10 +384,13 @@ def embedding_near_dups(table: DataFrame, cosine: float = COSINE, pivots: int =
         return t
 
     names = [f"l{k}" for k in range(len(RADII))]
-    kinds = "node long, weight long, x array<float>, block struct<dim:long,pivot:long,part:int>, " + ", ".join(f"{c} long" for c in names)
+    kinds = f"node long, weight long, x array<{kind}>, block struct<dim:long,home:long,own:long,part:int>, " + ", ".join(f"{c} long" for c in names)
     grown = durable(dealt.groupBy("block").applyInArrow(grow, kinds), "trees")
+    forget(placed, homes)
+    if report is not None:
+        report |= {"vectors": points.count(), "blocks": grown.select("block").distinct().count(), "open": pairs.filter("block <= other").count()}
     rows_of = ["node", "weight", "x", *names]
-    sent = grown.join(partners, "block").select(*rows_of, "block", F.explode("others").alias("other"))
+    sent = grown.join(pairs, "block").select(*rows_of, "block", "other")
     cells = sent.select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") <= F.col("other")).alias("low"), *rows_of)
 
     def compare(t):
@@ -339,6 +422,7 @@ def embedding_near_dups(table: DataFrame, cosine: float = COSINE, pivots: int =
         })
 
     out = durable(cells.groupBy("lo", "hi").applyInArrow(compare, "u long, v long, n long"), "links")
+    forget(grown, pairs)
     counts = out.filter("n > 0").groupBy("u").agg(F.sum("n").alias("n"))
     parts = connected_components(out.filter("v IS NOT NULL").select("u", "v"), "vector-links")
     named = points.select("node", "h", "k", "weight", "least").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
