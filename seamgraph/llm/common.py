@@ -106,18 +106,29 @@ def spans(text: Column, pattern: str, group: int | None = None) -> Column:
     points, end exclusive; part is the group's text. The pattern must not match the empty string."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group if group is not None else 0))
-    steps = F.arrays_zip(found.alias("found"), gaps.alias("gap"), parts.alias("part"))
+    steps = F.filter(F.arrays_zip(found.alias("found"), gaps.alias("gap"), parts.alias("part")), lambda x: x["found"].isNotNull())
     kind = "array<struct<start:int,end:int,found:string,part:string>>"
+    width = lambda x: F.length(x["gap"]) + F.length(x["found"])
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["found"])
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["found"].alias("found"), x["part"].alias("part")))
-        return F.struct(end.alias("at"), F.concat(acc["out"], one.cast(kind)).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    walk = F.aggregate(F.filter(steps, lambda x: x["found"].isNotNull()), zero, step, lambda acc: acc["out"])
-    return F.when(F.regexp_like(text, F.lit(pattern)), walk).otherwise(F.array().cast(kind))
+        end = acc["at"] + width(x)
+        one = F.struct((end - F.length(x["found"])).alias("start"), end.alias("end"), x["found"].alias("found"), x["part"].alias("part"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one).cast(kind)).alias("out"))
+
+    def walk(all_steps: Column) -> Column:
+        # an array that grows copies itself at every step, so the steps go in blocks of about the root of their number
+        size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(all_steps)))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(all_steps) / size).cast("int") - 1), lambda k: F.slice(all_steps, k * size + 1, size))
+        add = lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + F.aggregate(b, F.lit(0), lambda n, x: n + width(x))))
+
+        def placed(bs: Column) -> Column:
+            starts = F.aggregate(bs, F.array(F.lit(0)), add)
+            inner = lambda at: lambda b, k: F.aggregate(b, F.struct(at[k].alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
+            return let(starts, lambda at: F.flatten(F.transform(bs, inner(at))))
+
+        return let(blocks, placed)
+
+    return F.when(F.regexp_like(text, F.lit(pattern)), let(steps, walk)).otherwise(F.array().cast(kind))
 
 
 def docs_table(spark: SparkSession, sf_dir: str) -> DataFrame:

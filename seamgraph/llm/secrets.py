@@ -55,32 +55,45 @@ def most_sum(bits: float) -> int:
     return math.floor(WIDTH * (math.log2(WIDTH) - bits) * _UNIT)
 
 
+#: Counts of a window lie side by side in whole numbers, five bits each (WIDTH is below 32), twelve to a number.
+_BITS, _EACH = 5, 12
+_CELLS = -(-len(ALPHABET) // _EACH)
+
+
 def _marked(found: Column, limit: Column) -> Column:
     """struct(first, last): where the first and last window at or under the limit start; first is -1 if none."""
-    codes = F.transform(F.split(found, ""), lambda c: F.call_function("instr", F.lit(ALPHABET), c))
-    parts = F.array(*[F.lit(part(k)) for k in range(WIDTH + 1)])
+
+    def place(c: Column) -> Column:
+        """Where a character's count lies: the number's place, and one of the count there."""
+        k = F.call_function("instr", F.lit(ALPHABET), c) - 1
+        shift = ((k % _EACH) * _BITS).cast("int")
+        return F.struct(F.floor(k / _EACH).cast("int").alias("cell"), shift.alias("shift"), F.call_function("shiftleft", F.lit(1).cast("long"), shift).alias("one"))
+
+    codes = F.transform(F.split(found, ""), place)
+    parts = F.array(*[F.lit(part(k)) for k in range(WIDTH + 2)])
 
     def slide(code: Column) -> Column:
         at = lambda k: F.element_at(code, k.cast("int"))
         f = lambda k: F.element_at(parts, k + 1)
-        zero = F.struct(
-            F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0).cast("long").alias("s"), F.lit(-1).alias("first"), F.lit(-1).alias("last")
-        )
+        names = [f"n{k}" for k in range(_CELLS)]
+        zero = F.struct(*[F.lit(0).cast("long").alias(n) for n in names], F.lit(0).cast("long").alias("s"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+
+        def count(acc: Column, c: Column) -> Column:
+            cell = F.coalesce(*[F.when(c["cell"] == k, acc[n]) for k, n in enumerate(names)])
+            return F.call_function("shiftright", cell, c["shift"]).bitwiseAND(F.lit((1 << _BITS) - 1)).cast("int")
 
         def step(acc: Column, i: Column) -> Column:
-            into, out = at(i), F.when(i > WIDTH, at(F.greatest(i - WIDTH, F.lit(1)))).otherwise(F.lit(0))
-            n = acc["n"]
-            n_in = F.element_at(n, into)
-            n_out = F.when(out > 0, F.element_at(n, F.greatest(out, F.lit(1)))).otherwise(F.lit(1))
-            same = out == into
-            s = F.when(same, acc["s"]).otherwise(acc["s"] + f(n_in + 1) - f(n_in) + F.when(out > 0, f(n_out - 1) - f(n_out)).otherwise(F.lit(0)))
-            counts = F.when(same, n).otherwise(
-                F.transform(n, lambda c, k: c + F.when(k + 1 == into, 1).otherwise(0) - F.when(k + 1 == out, 1).otherwise(0))
-            )
+            """One character in and, past the first window, one out: two counts change, whatever the alphabet's size."""
+            into, out = at(i), at(F.greatest(i - WIDTH, F.lit(1)))
+            full = i > WIDTH
+            same = full & (out["cell"] == into["cell"]) & (out["shift"] == into["shift"])
+            n_in, n_out = count(acc, into), F.greatest(count(acc, out), F.lit(1))
+            s = F.when(same, acc["s"]).otherwise(acc["s"] + f(n_in + 1) - f(n_in) + F.when(full, f(n_out - 1) - f(n_out)).otherwise(F.lit(0)))
+            moved = lambda n, k: acc[n] + F.when(into["cell"] == k, into["one"]).otherwise(F.lit(0)) - F.when(full & (out["cell"] == k), out["one"]).otherwise(F.lit(0))
             hit = (i >= WIDTH) & (s <= limit)
             return F.struct(
-                counts.alias("n"), s.alias("s"), F.when(hit & (acc["first"] < 0), i - WIDTH).otherwise(acc["first"]).alias("first"),
-                F.when(hit, i - WIDTH).otherwise(acc["last"]).alias("last"),
+                *[moved(n, k).alias(n) for k, n in enumerate(names)], s.alias("s"),
+                F.when(hit & (acc["first"] < 0), i - WIDTH).otherwise(acc["first"]).alias("first"), F.when(hit, i - WIDTH).otherwise(acc["last"]).alias("last"),
             )
 
         return F.aggregate(F.sequence(F.lit(1), F.size(code)), zero, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
