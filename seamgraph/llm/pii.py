@@ -152,20 +152,65 @@ def _ip(found: Column, key: Column) -> Column:
     return let(permuted_number(value, 65536, 65536, key, "ip"), lambda v: F.concat_ws(".", *[octet(v, k) for k in (3, 2, 1, 0)]))
 
 
+#: Dates of 1800 to 2199 whose day is after the 12th: days 13 to 28 of 4,800 months, then 29ths, 30ths and 31sts.
+_LATE = 88_497
+_NOT_FEBRUARY, _LONG_MONTHS = [1, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12], [1, 3, 5, 7, 8, 10, 12]
+_LEAP = [y for y in range(1800, 2200) if y % 4 == 0 and (y % 100 or y % 400 == 0)]
+
+
+def _late_number(day: Column) -> Column:
+    """The place of a date among those whose day is after the 12th."""
+    y, m, d = (F.year(day) - 1800).cast("long"), F.month(day), F.dayofmonth(day)
+    place = lambda values, x: F.array_position(F.array(*map(F.lit, values)), x) - 1
+    return (
+        F.when(d <= 28, (y * 12 + m - 1) * 16 + d - 13)
+        .when((d == 29) & (m == 2), 76_800 + 4_400 + place(_LEAP, F.year(day)))
+        .when(d == 29, 76_800 + y * 11 + place(_NOT_FEBRUARY, m))
+        .when(d == 30, 81_297 + y * 11 + place(_NOT_FEBRUARY, m))
+        .otherwise(85_697 + y * 7 + place(_LONG_MONTHS, m))
+    )
+
+
+def _late_date(v: Column) -> Column:
+    """The date at a place: _late_number's inverse."""
+    of = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k + 1).cast("int"))
+    by = lambda k, n: F.floor(k / n).cast("int")
+    date = lambda y, m, d: F.make_date((y + 1800).cast("int"), m.cast("int"), d.cast("int"))
+    j, k, n = v - 76_800, v - 81_297, v - 85_697
+    return (
+        F.when(v < 76_800, date(by(v, 192), F.pmod(by(v, 16), F.lit(12)) + 1, F.pmod(v, F.lit(16)) + 13))
+        .when(j < 4_400, date(by(j, 11), of(_NOT_FEBRUARY, F.pmod(j, F.lit(11))), F.lit(29)))
+        .when(v < 81_297, F.make_date(of(_LEAP, j - 4_400).cast("int"), F.lit(2), F.lit(29)))
+        .when(v < 85_697, date(by(k, 11), of(_NOT_FEBRUARY, F.pmod(k, F.lit(11))), F.lit(30)))
+        .otherwise(date(by(n, 7), of(_LONG_MONTHS, F.pmod(n, F.lit(7))), F.lit(31)))
+    )
+
+
+def permuted_late(value: Column, key: Column) -> Column:
+    """A number below _LATE permuted under key: the network goes over 298 * 297 numbers, and what leaves the range goes on
+    until it is back. Nine numbers lie beyond it, so ten turns are enough."""
+    turn = lambda v: permuted_number(v, 298, 297, key, "late date")
+    zero = F.struct(value.alias("v"), F.lit(False).alias("done"))
+    step = lambda a, i: F.when(a["done"], a).otherwise(let(turn(a["v"]), lambda v: F.struct(v.alias("v"), (v < _LATE).alias("done"))))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(298 * 297 - _LATE + 1)), zero, step, lambda a: a["v"])
+
+
 def _date(found: Column, key: Column) -> Column:
-    """Year-month-day with -, day-month-year with / or .; if that is no date, month-day-year with /. Years
-    1800 to 2199; other strings stay as they are."""
+    """Year-month-day with -, day-month-year with / or .; what is no such date, month-day-year with /. Each of these
+    readings is permuted within itself: a month-day-year date's day is after the 12th and stays there, so no two
+    strings meet. Years 1800 to 2199; other strings stay as they are."""
 
-    def of(fmt: str) -> Column:
+    def of(fmt: str, new) -> Column:
         day = F.try_to_date(found, fmt)
         inside = (day >= F.lit("1800-01-01").cast("date")) & (day < F.lit("2200-01-01").cast("date"))
-        zero = F.lit("1800-01-01").cast("date")
-        new = F.date_format(F.date_add(zero, permuted_number(F.datediff(day, zero).cast("long"), 189, 773, key, "date").cast("int")), fmt)
-        return F.when(day.isNotNull() & inside, new)
+        return F.when(day.isNotNull() & inside, F.date_format(new(day), fmt))
 
+    zero = F.lit("1800-01-01").cast("date")
+    days = lambda day: F.date_add(zero, permuted_number(F.datediff(day, zero).cast("long"), 189, 773, key, "date").cast("int"))
+    late = lambda day: let(permuted_late(_late_number(day).cast("long"), key), _late_date)
     return (
-        F.when(found.contains("-"), of("yyyy-MM-dd")).when(found.contains("."), of("dd.MM.yyyy"))
-        .otherwise(F.coalesce(of("dd/MM/yyyy"), of("MM/dd/yyyy")))
+        F.when(found.contains("-"), of("yyyy-MM-dd", days)).when(found.contains("."), of("dd.MM.yyyy", days))
+        .when(F.try_to_date(found, "dd/MM/yyyy").isNotNull(), of("dd/MM/yyyy", days)).otherwise(of("MM/dd/yyyy", late))
     )
 
 
@@ -189,23 +234,37 @@ def _pseudonym(found: Column, key: Column) -> Column:
     return let(kind, go)
 
 
+#: Stands before and after finds while a text is taken apart; texts that hold it are taken apart the longer way.
+_MARK = "\uffff"
+
+
+def _pieces(text: Column) -> Column:
+    """The text cut at its finds: gap, find, gap, ..., gap. One walk of the pattern over the text."""
+    longer = F.flatten(F.transform(
+        F.arrays_zip(F.split(text, ANY, -1).alias("gap"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("f")), lambda x: F.array(x["gap"], x["f"])
+    ))
+    short = F.split(F.regexp_replace(text, ANY, f"{_MARK}$0{_MARK}"), _MARK, -1)
+    # a find holds a digit or an @
+    some = F.regexp_like(text, F.lit("[0-9@]"))
+    return F.when(~some, F.array(text)).when(text.contains(_MARK), F.filter(longer, lambda x: x.isNotNull())).otherwise(short)
+
+
 def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     """docs -> its columns with the finds in text replaced, and finds: array<struct<kind, new>>, those that
     validated, in order.
 
     Null texts stay null and hold nothing; whole texts are scanned; repeated rows stay; an empty table
-    gives an empty result. Other columns pass; an own column named finds is replaced."""
+    gives an empty result. Other columns pass; an own column named finds is replaced. The key is read from a
+    one-row table, so it stands in no plan."""
     cols = [c for c in docs.columns if c != "finds"]
-    text = F.col("_row.text").cast("string")
-    secret = F.lit(key)
+    secret = docs.sparkSession.createDataFrame([(key,)], "key string").scalar()
     none = F.array().cast("array<struct<kind:string,new:string>>")
-    some = F.regexp_like(text, F.lit(ANY))
-    found = F.when(some, F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda x: _pseudonym(x, secret))).otherwise(none)
-    rows = docs.select(packed(docs, cols)).withColumn("_finds", found)
-    joined = F.array_join(
-        F.transform(F.arrays_zip(F.split(text, ANY, -1).alias("gap"), F.col("_finds").alias("f")), lambda x: F.concat(x["gap"], F.coalesce(x["f"]["new"], F.lit("")))), ""
-    )
-    new = F.when(F.size("_finds") > 0, joined).otherwise(text)
+    rows = docs.select(packed(docs, cols), secret.alias("_key"), _pieces(F.coalesce(F.col("_row.text").cast("string"), F.lit(""))).alias("_parts"))
+    odd = F.filter("_parts", lambda x, i: i % 2 == 1)
+    found = F.when(F.size("_parts") > 1, F.transform(odd, lambda x: _pseudonym(x, F.col("_key")))).otherwise(none)
+    rows = rows.select("_row", "_parts", found.alias("_finds"))
+    joined = F.array_join(F.transform("_parts", lambda x, i: F.when(i % 2 == 1, F.get("_finds", F.floor(i / 2).cast("int"))["new"]).otherwise(x)), "")
+    new = F.when(F.size("_finds") > 0, joined).otherwise(F.col("_row.text").cast("string"))
     return rows.select(
         *[new.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in cols], F.filter("_finds", lambda x: x["kind"].isNotNull()).alias("finds")
     )

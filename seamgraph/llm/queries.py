@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from secrets import token_hex
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,14 +67,23 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs_table(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
-#: Stands in for the secret that a deployment keeps in spark.seamgraph.pii.key.
-PII_KEY = "a key for tests and checks"
+#: Where a deployment keeps the key of the pseudonyms; Spark hides settings of such a name in its logs.
+PII_SETTING = "spark.seamgraph.pii.secret"
+
+
+def _pii_key(spark: SparkSession) -> str:
+    """The session's key; where none is set, a random one that lasts as long as the session."""
+    key = spark.conf.get(PII_SETTING, None)
+    if not key:
+        key = token_hex(32)
+        spark.conf.set(PII_SETTING, key)
+    return key
 
 
 def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import PATTERNS, pseudonymize
 
-    out = pseudonymize(docs_table(spark, sf_dir), spark.conf.get("spark.seamgraph.pii.key", PII_KEY))
+    out = pseudonymize(docs_table(spark, sf_dir), _pii_key(spark))
     count = lambda kind: F.size(F.filter("finds", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return out.select("doc_id", *[count(k) for k in PATTERNS], "text")
 
