@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, n_words, packed, words
+from .common import durable, forget, n_words, packed, row_hash, words
 
 #: Weights by the rank of the source, repeating.
 WEIGHTS = (5, 2, 1)
@@ -114,10 +114,6 @@ def plan(docs: DataFrame, weights: tuple = WEIGHTS, slopes: tuple = SLOPES, most
     )
 
 
-def row_hash(docs: DataFrame) -> Column:
-    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_hash")
-
-
 def range_sorted(df: DataFrame, total: float, *ties: str) -> DataFrame:
     """Rows in order of position, those without one first. Positions spread over [0, total] as the words
     do, so equal ranges of them are the partitions; nothing need be sampled."""

@@ -143,7 +143,9 @@ def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """The documents that the rules keep, with docs' columns."""
+    """The documents that the rules keep, with docs' columns. Each text is measured once: the measures are written
+    beside the rows, and the verdict is joined to them."""
     cols = docs.columns
-    limits = durable(fences(sketches(durable(_measured(docs, []), "measured")), min_group), "fences")
-    return _judged(_measured(docs, [packed(docs)]), limits).filter("kept").select(*[F.col("_row")[c].alias(c) for c in cols])
+    measured = durable(_measured(docs, [packed(docs)]), "measured")
+    limits = durable(fences(sketches(measured), min_group), "fences")
+    return _judged(measured, limits).filter("kept").select(*[F.col("_row")[c].alias(c) for c in cols])

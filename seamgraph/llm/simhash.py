@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, packed
+from .common import durable, forget, packed, row_hash
 from .components import connected_components
 
 #: Hamming distance at which fingerprints link.
@@ -227,7 +227,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "h")).alias("m")
     wins = groups.groupBy("root").agg(first).select(F.coalesce("m.doc_id", F.lit(0)).alias("_id"), F.col("m.h").alias("_h")).distinct()
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_h")]
-    every = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all")
-    rows = docs.select(packed(docs), *key, every).join(wins, ["_id", "_h"], "left_semi")
+    rows = docs.select(packed(docs), *key, row_hash(docs).alias("_all")).join(wins, ["_id", "_h"], "left_semi")
     nth = F.row_number().over(Window.partitionBy("_id", "_h").orderBy("_all"))
     return rows.withColumn("_nth", nth).filter("_nth = 1").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
