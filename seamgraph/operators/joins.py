@@ -29,16 +29,19 @@ def longest_prefix(paths: DataFrame, path: str, owners: DataFrame, prefix: str,
 
 
 def contained_in(points: DataFrame, point: str, spans: DataFrame, start: str, end: str, name: str, step: int) -> DataFrame:
-    """points plus name of the smallest span (start <= point < end) that holds it. Spans are listed under
-    each bucket of `step` that they touch, so the join is by equality and a bucket is small."""
-    listed = spans.select(
-        F.explode(F.sequence(F.floor(F.col(start) / step), F.floor((F.col(end) - 1) / step))).alias("_bucket"), start, end, F.col(name).alias("_name")
-    )
-    marked = points.withColumn("_bucket", F.floor(F.col(point) / step))
-    hits = marked.join(listed, "_bucket").filter((F.col(start) <= F.col(point)) & (F.col(point) < F.col(end)))
-    keys = points.columns
-    best = hits.groupBy(*keys).agg(F.min_by("_name", F.struct(F.col(end) - F.col(start), F.col("_name"))).alias(name))
-    return points.join(best, keys, "left")
+    """points plus name of the smallest span (start <= point < end) that holds it, the least name of equal ones. Spans are
+    listed under each bucket of `step` that they touch, so the join is by equality; the points' side of a hot bucket
+    may be split. A point is told from its equals by a key of its own, so nulls in other columns do no harm."""
+    listed = spans.filter(F.col(start) < F.col(end)).select(
+        F.explode(F.sequence(F.floor(F.col(start) / step), F.floor((F.col(end) - 1) / step))).alias("_bucket"),
+        F.col(start).alias("_start"), F.col(end).alias("_end"), F.col(name).alias("_name"),
+    )
+    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in points.columns])
+    marked = points.select(row.alias("_row"), F.col(point).alias("_point"), F.floor(F.col(point) / step).alias("_bucket"), F.monotonically_increasing_id().alias("_key"))
+    inside = (F.col("m._bucket") == F.col("l._bucket")) & (F.col("_start") <= F.col("_point")) & (F.col("_point") < F.col("_end"))
+    hits = marked.alias("m").join(listed.alias("l"), inside, "left")
+    best = hits.groupBy("_key").agg(F.first("_row").alias("_row"), F.min_by("_name", F.struct(F.col("_end") - F.col("_start"), "_name")).alias(name))
+    return best.select(*[F.col("_row")[c].alias(c) for c in points.columns], name)
 
 
 def candidates(calls: DataFrame, call: str, keys: Column, targets: DataFrame, key: str, target: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import digests, enrich, graph, joins, paging
-from .projection import SQL_EDGES, SQL_NODES, SQL_OPEN, graph_edges, graph_nodes, open_edges, table
+from . import build
+from .projection import SQL_EDGES, SQL_NODES, SQL_OPEN, graph_edges, graph_nodes, graph_symbols, open_edges, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -101,42 +103,42 @@ def _walk(seeds: str, depth: int, reverse: bool, extra: str = "", edges: str = S
 
 @_register(_walk("('o5')", 4, False))
 def transitive_dependencies(s, d):
-    return graph.reach(graph_edges(s, d), graph.seeds_of(s, ["o5"]), 4)
+    return graph.reach(graph_edges(s, d, repeats=True), graph.seeds_of(s, ["o5"]), 4)
 
 
 @_register(_walk("('r1')", 3, True))
 def transitive_dependents(s, d):
-    return graph.reach(graph_edges(s, d), graph.seeds_of(s, ["r1"]), 3, reverse=True)
+    return graph.reach(graph_edges(s, d, repeats=True), graph.seeds_of(s, ["r1"]), 3, reverse=True)
 
 
 @_register(_walk("('s1'), ('s2'), ('zz')", 2, True))
 def affected_by_multi(s, d):
-    return graph.reach(graph_edges(s, d), graph.seeds_of(s, ["s2", "s1", "zz", "s1"]), 2, reverse=True)
+    return graph.reach(graph_edges(s, d, repeats=True), graph.seeds_of(s, ["s2", "s1", "zz", "s1"]), 2, reverse=True)
 
 
 @_register(_walk("('c3'), ('s3')", 9, False, where="e.kind IN ('Import', 'Module')"))
 def module_closure(s, d):
-    edges = graph_edges(s, d).filter(F.col("kind").isin("Import", "Module"))
+    edges = graph_edges(s, d, repeats=True).filter(F.col("kind").isin("Import", "Module"))
     return graph.reach(edges, graph.seeds_of(s, ["c3", "s3"]), None)
 
 
 @_register(_walk("('r2')", 9, True, where="e.kind <> 'Property' AND e.kind <> 'TypeReference'"))
 def reverse_closure(s, d):
-    edges = graph_edges(s, d).filter(~F.col("kind").isin("Property", "TypeReference"))
+    edges = graph_edges(s, d, repeats=True).filter(~F.col("kind").isin("Property", "TypeReference"))
     return graph.reach(edges, graph.seeds_of(s, ["r2"]), None, reverse=True)
 
 
 @_register(_walk("('o7')", 2, False, "SELECT e.source, e.target, e.kind FROM g_edges e JOIN reached r ON e.source = r.node"))
 def traversal_edge_set(s, d):
-    edges = graph_edges(s, d)
-    return graph.edges_within(edges, graph.reach(edges, graph.seeds_of(s, ["o7"]), 2)).select("source", "target", "kind")
+    edges = graph_edges(s, d, repeats=True)
+    return graph.edges_within(edges, graph.reach(edges, graph.seeds_of(s, ["o7"]), 2)).select("source", "target", "kind").distinct()
 
 
 @_register(
     _walk("('o7')", 1, False, "SELECT CASE WHEN EXISTS (SELECT 1 FROM g_edges e JOIN reached r ON e.source = r.node WHERE e.target NOT IN (SELECT node FROM reached)) THEN 'Partial' ELSE 'Complete' END AS status, (SELECT count(*) FROM reached) AS subjects")
 )
 def traversal_status(s, d):
-    edges = graph_edges(s, d)
+    edges = graph_edges(s, d, repeats=True)
     got = graph.reach(edges, graph.seeds_of(s, ["o7"]), 1)
     beyond = graph.open_ends(edges, got).agg(F.count("*").alias("n"))
     return got.agg(F.count("*").alias("subjects")).select(F.when(beyond.scalar() > 0, "Partial").otherwise("Complete").alias("status"), "subjects")
@@ -146,12 +148,48 @@ def traversal_status(s, d):
     _walk("('n4')", 1, True, f", {SQL_NODES} SELECT CASE WHEN r.depth = 0 THEN 'symbols:' ELSE 'reverse:' END || g.id AS ref, sha256(to_json([g.name, g.owner])::VARCHAR) AS digest FROM reached r JOIN g_nodes g ON g.id = r.node")
 )
 def evidence_revision_inputs(s, d):
-    got = graph.reach(graph_edges(s, d), graph.seeds_of(s, ["n4"]), 1, reverse=True)
+    got = graph.reach(graph_edges(s, d, repeats=True), graph.seeds_of(s, ["n4"]), 1, reverse=True)
     nodes = graph_nodes(s, d)
     ref = F.concat(F.when(F.col("depth") == 0, "symbols:").otherwise("reverse:"), F.col("id"))
     return got.join(nodes, got.node == nodes.id).select(ref.alias("ref"), F.sha2(F.to_json(F.array("name", "owner")), 256).alias("digest"))
 
 
+#: Bounds that the walks below run into: the third level is cut after 40 nodes, the edges after 90.
+_BOUNDS = dict(max_depth=3, max_nodes=40, max_edges=90, reverse=True, key="source")
+_BOUNDED = _walk(
+    "('n2')", 3, True,
+    """, n AS (SELECT node, depth FROM reached ORDER BY depth, node LIMIT 40),
+      m AS (SELECT e.source, e.target, e.kind, n.depth FROM (SELECT * FROM g_edges WHERE kind <> 'Property') e JOIN n ON e.target = n.node),
+      k AS (SELECT * FROM m ORDER BY depth, target, source LIMIT 90) {}""",
+    where="e.kind <> 'Property'",
+)
+
+
+def _bounded(s, d):
+    edges = graph_edges(s, d).filter("kind <> 'Property'")
+    return graph.bounded(edges, graph.seeds_of(s, ["n2"]), **_BOUNDS)
+
+
+@_register(_BOUNDED.format("SELECT node, depth FROM n"))
+def bounded_traversal_nodes(s, d):
+    return _bounded(s, d)[0]
+
+
+@_register(_BOUNDED.format("SELECT source, target, kind FROM k"))
+def bounded_traversal_edges(s, d):
+    return _bounded(s, d)[1]
+
+
+@_register(
+    _BOUNDED.format(
+        """SELECT CASE WHEN (SELECT count(*) FROM reached) > 40 OR (SELECT count(*) FROM m) > 90
+           OR EXISTS (SELECT 1 FROM k WHERE source NOT IN (SELECT node FROM n)) THEN 'Partial' ELSE 'Complete' END AS status"""
+    )
+)
+def bounded_traversal_status(s, d):
+    return _bounded(s, d)[2]
+
+
 # ---- joins
 
 
@@ -165,7 +203,7 @@ def owners_of(s, d):
 @_register(
     """WITH p AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pages),
     o AS (SELECT DISTINCT regexp_extract(path, '^([^/]+)/', 1) AS dir FROM p WHERE path LIKE '%/%'
-          UNION SELECT DISTINCT regexp_extract(path, '^([^/]+/[^/]+)/', 1) FROM p WHERE regexp_matches(path, '^[^/]+/[^/]+/') AND page_id % 3 = 0)
+          UNION SELECT DISTINCT regexp_extract(path, '^([^/]+/[^/]+)/', 1) FROM p WHERE regexp_matches(path, '^[^/]+/[^/]+/'))
     SELECT page_id, path, dir, sha256(dir) AS owner FROM (
       SELECT p.*, o.dir, row_number() OVER (PARTITION BY page_id ORDER BY length(o.dir) DESC NULLS LAST) AS k
       FROM p LEFT JOIN o ON starts_with(p.path, o.dir || '/')) WHERE k = 1"""
@@ -174,7 +212,7 @@ def owner_longest_prefix(s, d):
     p = table(s, d, "pages").select("page_id", F.regexp_replace("url", "^https?://", "").alias("path"))
     deep = r"^([^/]+/[^/]+)/"
     dirs = p.filter("path LIKE '%/%'").select(F.regexp_extract("path", "^([^/]+)/", 1).alias("dir")).unionByName(
-        p.filter(F.col("path").rlike(deep) & (F.col("page_id") % 3 == 0)).select(F.regexp_extract("path", deep, 1).alias("dir"))
+        p.filter(F.col("path").rlike(deep)).select(F.regexp_extract("path", deep, 1).alias("dir"))
     )
     owners = dirs.distinct().withColumn("owner", F.sha2("dir", 256))
     return joins.longest_prefix(p, "path", owners, "dir", "owner").dropDuplicates(["page_id"])
@@ -216,17 +254,6 @@ def candidate_path_join(s, d):
     return got.withColumn("targets", F.array_join(F.col("targets").cast("array<string>"), ","))
 
 
-@_register(
-    """WITH x AS (SELECT event_id, floor(epoch(ts))::BIGINT AS sec FROM events),
-    b AS (SELECT min(sec) AS lo FROM x),
-    i AS (SELECT o_orderkey AS span, lo + (o_orderkey * 977) % 2000000 AS lo2, lo + (o_orderkey * 977) % 2000000 + 600 + (o_orderkey % 50) * 60 AS hi FROM orders, b WHERE o_orderkey % 5 = 0)
-    SELECT event_id, sec, span FROM (SELECT x.*, i.span, row_number() OVER (PARTITION BY event_id ORDER BY hi - lo2 NULLS LAST, span) AS k
-      FROM x LEFT JOIN i ON x.sec >= lo2 AND x.sec < hi) WHERE k = 1"""
-)
-def interval_containment(s, d):
-    return _contained(s, d, table(s, d, "orders").filter("o_orderkey % 5 = 0"))
-
-
 @_register(
     """WITH x AS (SELECT event_id, floor(epoch(ts))::BIGINT AS sec FROM events),
     b AS (SELECT min(sec) AS lo FROM x),
@@ -234,14 +261,10 @@ def interval_containment(s, d):
     SELECT event_id, sec, span FROM (SELECT x.*, i.span, row_number() OVER (PARTITION BY event_id ORDER BY hi - lo2 NULLS LAST, span) AS k
       FROM x LEFT JOIN i ON x.sec >= lo2 AND x.sec < hi) WHERE k = 1"""
 )
-def interval_containment_whole(s, d):
-    return _contained(s, d, table(s, d, "orders"))
-
-
-def _contained(s, d, orders):
+def interval_containment(s, d):
     x = table(s, d, "events").select("event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("sec"))
     lo = x.agg(F.min("sec").alias("lo")).scalar()
-    spans = orders.select(F.col("o_orderkey").alias("span"), (lo + (F.col("o_orderkey") * 977) % 2000000).alias("lo"))
+    spans = table(s, d, "orders").select(F.col("o_orderkey").alias("span"), (lo + (F.col("o_orderkey") * 977) % 2000000).alias("lo"))
     spans = spans.withColumn("hi", F.col("lo") + 600 + (F.col("span") % 50) * 60)
     return joins.contained_in(x, "sec", spans, "lo", "hi", "span", 3600)
 
@@ -278,35 +301,34 @@ def resolved_without_target(s, d):
     return open_edges(s, d).filter("resolution = 'Resolved' AND target IS NULL").select("id", "source")
 
 
-_EDITED = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN 'E' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 13 <> 0 UNION ALL SELECT 900000000 + o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 17 = 0"
+#: A later version: parts that are small were changed, those of a middling size are gone, large ones have a second form.
+_EDITED = "SELECT p_partkey AS id, CASE WHEN p_size < 9 THEN 'edited' ELSE p_type END AS v FROM part WHERE p_size NOT BETWEEN 20 AND 24 UNION ALL SELECT 900000000 + p_partkey, p_type FROM part WHERE p_size > 40"
 
 
 def _versions(s, d):
-    o = table(s, d, "orders")
-    old = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("v"))
-    new = old.filter("id % 13 <> 0").withColumn("v", F.when(F.col("id") % 11 == 0, "E").otherwise(F.col("v"))).unionByName(
-        old.filter("id % 17 = 0").withColumn("id", F.col("id") + 900000000)
-    )
-    return old, new
+    p = table(s, d, "part")
+    id_, old = F.col("p_partkey").alias("id"), F.col("p_type").alias("v")
+    kept = p.filter(~F.col("p_size").between(20, 24)).select(id_, F.when(F.col("p_size") < 9, "edited").otherwise(F.col("p_type")).alias("v"))
+    return p.select(id_, old), kept.unionByName(p.filter("p_size > 40").select((F.col("p_partkey") + 900000000).alias("id"), old))
 
 
 _STATE = "CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' WHEN a.v = b.v THEN 'same' ELSE 'changed' END"
 
 
-@_register(f"SELECT coalesce(a.id, b.id) AS id, a.v AS before, b.v AS after, {_STATE} AS state FROM (SELECT o_orderkey AS id, o_orderstatus AS v FROM orders) a FULL JOIN ({_EDITED}) b ON a.id = b.id")
+@_register(f"SELECT coalesce(a.id, b.id) AS id, a.v AS before, b.v AS after, {_STATE} AS state FROM (SELECT p_partkey AS id, p_type AS v FROM part) a FULL JOIN ({_EDITED}) b ON a.id = b.id")
 def diff_full_outer(s, d):
     return joins.differences(*_versions(s, d), "id", "v")
 
 
-@_register(f"SELECT count(*) FILTER (st IN ('added', 'changed')) AS added, count(*) FILTER (st IN ('removed', 'changed')) AS removed FROM (SELECT {_STATE} AS st FROM (SELECT o_orderkey AS id, o_orderstatus AS v FROM orders) a FULL JOIN ({_EDITED}) b ON a.id = b.id)")
+@_register(f"SELECT count(*) FILTER (st IN ('added', 'changed')) AS added, count(*) FILTER (st IN ('removed', 'changed')) AS removed FROM (SELECT {_STATE} AS st FROM (SELECT p_partkey AS id, p_type AS v FROM part) a FULL JOIN ({_EDITED}) b ON a.id = b.id)")
 def diff_counts(s, d):
     got = joins.differences(*_versions(s, d), "id", "v")
     return got.agg(F.count(F.when(F.col("state").isin("added", "changed"), 1)).alias("added"), F.count(F.when(F.col("state").isin("removed", "changed"), 1)).alias("removed"))
 
 
 @_register(
-    """WITH e AS (SELECT 'e' || o_orderkey AS id, 'o' || o_orderkey AS source, 'c' || o_custkey AS target, 'Call' AS kind, 'f' || o_custkey % 10 AS file, o_orderkey::INT AS start FROM orders),
-    f AS (SELECT source, file, kind, start, target AS old, unnest([target, 'c' || (start % 7), 'c1']) AS target FROM e WHERE start % 20 = 0)
+    """WITH e AS (SELECT 'e' || o_orderkey AS id, 'o' || o_orderkey AS source, 'c' || o_custkey AS target, 'Call' AS kind, 'f' || o_custkey % 10 AS file, o_orderkey::INT AS start, o_orderstatus AS st FROM orders),
+    f AS (SELECT source, file, kind, start, target AS old, unnest([target, 'c' || (start % 7), 'c1']) AS target FROM e WHERE st = 'F')
     SELECT id, source, target, NULL AS basis FROM e UNION ALL
     SELECT DISTINCT sha256('["' || source || '","' || file || '","' || kind || '",' || start || ',"' || target || '","compiler_projection"]'), source, target, 'compiler_projection' FROM f WHERE old <> target"""
 )
@@ -316,10 +338,10 @@ def compiler_target_projection(s, d):
     edges = o.select(
         F.concat(F.lit("e"), text(F.col("o_orderkey"))).alias("id"), F.concat(F.lit("o"), text(F.col("o_orderkey"))).alias("source"),
         F.concat(F.lit("c"), text(F.col("o_custkey"))).alias("target"), F.lit("Call").alias("kind"), F.lit("Resolved").alias("resolution"),
-        F.concat(F.lit("f"), text(F.col("o_custkey") % 10)).alias("file"), F.col("o_orderkey").cast("int").alias("start"),
+        F.concat(F.lit("f"), text(F.col("o_custkey") % 10)).alias("file"), F.col("o_orderkey").cast("int").alias("start"), "o_orderstatus",
     )
-    seen = edges.filter("start % 20 = 0").select("file", "kind", "start", F.array("target", F.concat(F.lit("c"), text(F.col("start") % 7)), F.lit("c1")).alias("compiler_targets"))
-    return enrich.project_targets(edges, seen).select("id", "source", "target", "basis")
+    seen = edges.filter("o_orderstatus = 'F'").select("file", "kind", "start", F.array("target", F.concat(F.lit("c"), text(F.col("start") % 7)), F.lit("c1")).alias("compiler_targets"))
+    return enrich.project_targets(edges.drop("o_orderstatus"), seen).select("id", "source", "target", "basis")
 
 
 # ---- sort, limit, pages
@@ -338,18 +360,21 @@ def offset_page_budget(s, d):
     return paging.budget_page(table(s, d, "documents"), "source", "doc_id", "n_chars", 2, 8, 8192).select("source", "doc_id", "position", "spent")
 
 
-@_register("SELECT doc_id, substring(text, 1, 40) AS page FROM documents")
+#: Pages of 512 bytes: a character belongs to the page in which its last byte's 509th falls.
+@_register(
+    """WITH c AS (SELECT doc_id, i, ch, strlen(ch) AS n, sum(strlen(ch)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS e FROM (
+        SELECT doc_id, unnest(range(1, length(text) + 1)) AS i, unnest(regexp_extract_all(text, '(?s).')) AS ch FROM documents WHERE text <> '')),
+      p AS (SELECT doc_id, (e - 1) // 509 AS k, min(e - n) AS offset_bytes, string_agg(ch, '' ORDER BY i) AS page, max(e) AS e FROM c GROUP BY ALL)
+    SELECT doc_id, offset_bytes::INT AS offset_bytes, sha256(page) AS page, e = max(e) OVER (PARTITION BY doc_id) AS slice_complete FROM p
+    UNION ALL SELECT doc_id, 0, sha256(''), true FROM documents WHERE text = ''"""
+)
 def text_page(s, d):
-    return table(s, d, "documents").select("doc_id", F.substring("text", 1, 40).alias("page"))
-
-
-@_register(f"WITH {SQL_NODES} SELECT id, name FROM g_nodes ORDER BY id LIMIT 100")
-def total_order(s, d):
-    return graph_nodes(s, d).select("id", "name").orderBy("id").limit(100)
+    got = paging.text_pages(table(s, d, "documents").select("doc_id", "text"), "text", 512)
+    return got.select("doc_id", "offset_bytes", F.sha2("page", 256).alias("page"), "slice_complete")
 
 
 @_register(f"WITH {SQL_NODES} SELECT id, name FROM g_nodes ORDER BY id")
-def total_order_whole(s, d):
+def total_order(s, d):
     return graph_nodes(s, d).select("id", "name").orderBy("id")
 
 
@@ -444,16 +469,8 @@ def writes_of(s, d):
     return _effect(s, d).filter(F.col("kind").startswith("WRITE") | (F.col("kind") == "RECEIPT_WRITE")).select("event_id", "kind")
 
 
-@_register("SELECT doc_id FROM documents WHERE doc_id % 50 = 0 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 100 = 0)")
-def rule_witness_stale(s, d):
-    docs = table(s, d, "documents")
-    rules = docs.filter("doc_id % 50 = 0").select("doc_id", F.sha2("text", 256).alias("digest"))
-    seen = docs.filter("doc_id % 100 = 0").select(F.sha2("text", 256).alias("digest"))
-    return joins.orphans(rules, "digest", seen, "digest").select("doc_id")
-
-
 @_register(r"SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(regexp_replace(text, '\b(?:[0-9]{6,}|0x[a-fA-F0-9]+)\b', '#', 'g')) FROM documents WHERE text IS NOT NULL)")
-def rule_witness_stale_whole(s, d):
+def rule_witness_stale(s, d):
     """Every document as a rule, against the whole version of the table whose numbers are masked."""
     docs = table(s, d, "documents")
     rules = docs.select("doc_id", F.sha2("text", 256).alias("digest"))
@@ -461,6 +478,26 @@ def rule_witness_stale_whole(s, d):
     return joins.orphans(rules, "digest", seen, "digest").select("doc_id")
 
 
+_RULES = {"effects": [{"symbol": f"s{k}", "kind": kind, "source_digest": hashlib.sha256(f"Supplier#{k:09}".encode()).hexdigest()} for k, kind in ((3, "READ"), (4, "EXTERNAL_EFFECT"), (5, "WRITE_CANONICAL"))]}
+
+
+@_register(
+    """WITH s AS (SELECT 's' || s_suppkey AS source, 'n' || s_nationkey AS file, s_suppkey AS k, s_nationkey AS n FROM supplier WHERE s_nationkey <> 3),
+      e AS (SELECT source, file, CASE k WHEN 3 THEN 'READ' WHEN 4 THEN 'EXTERNAL_EFFECT' WHEN 5 THEN 'WRITE_CANONICAL' END AS declared,
+        k % 5 = 0 AND k % 10 <> 5 AND n <> 7 AND n NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900) AS pure FROM s)
+    SELECT source, file, coalesce(declared, CASE WHEN pure THEN 'PURE' ELSE 'UNKNOWN' END) AS kind,
+      CASE WHEN declared IS NOT NULL THEN 'explicit_source_rule' WHEN pure THEN 'empty_function_body' ELSE 'missing_effect_proof' END AS basis,
+      CASE WHEN coalesce(declared, CASE WHEN pure THEN 'PURE' ELSE 'UNKNOWN' END) IN ('PURE', 'EXTERNAL_EFFECT') THEN 'NotApplicable' ELSE 'Unresolved' END AS store_resolution
+    FROM e"""
+)
+def symbol_effects(s, d):
+    """The builder's own classifier over suppliers as declarations; a rich customer of the nation calls from them."""
+    symbols = graph_symbols(s, d)
+    busy = table(s, d, "customer").filter("c_acctbal > 9900").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("file"))
+    calls = symbols.join(busy, "file", "left_semi").select(F.col("id").alias("source"), F.lit("Call").alias("kind"))
+    return build.effects(s, symbols, calls, _RULES).select("source", "file", "kind", "basis", "store_resolution")
+
+
 @_register("SELECT source AS symbol, count(*) AS n FROM documents GROUP BY source HAVING count(*) > 1")
 def rule_duplicates(s, d):
     return table(s, d, "documents").groupBy(F.col("source").alias("symbol")).agg(F.count("*").alias("n")).filter("n > 1")
@@ -494,17 +531,17 @@ def state_digest_root(s, d):
     return digests.state_root(table(s, d, "part"), F.sha2(F.to_json(F.array("p_name", "p_brand", "p_type")), 256), F.col("p_partkey") % 16)
 
 
-@_register("(SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 <> 0 EXCEPT ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0) UNION ALL (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0 EXCEPT ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 <> 0)")
+@_register("(SELECT c_custkey, c_name FROM customer WHERE c_mktsegment <> 'BUILDING' EXCEPT ALL SELECT c_custkey, c_name FROM customer WHERE c_nationkey < 12) UNION ALL (SELECT c_custkey, c_name FROM customer WHERE c_nationkey < 12 EXCEPT ALL SELECT c_custkey, c_name FROM customer WHERE c_mktsegment <> 'BUILDING')")
 def inventory_recheck(s, d):
-    c = table(s, d, "customer").select("c_custkey", "c_name")
-    a, b = c.filter("c_custkey % 3 <> 0"), c.filter("c_custkey % 2 = 0")
+    c = table(s, d, "customer")
+    a, b = (c.filter(f).select("c_custkey", "c_name") for f in ("c_mktsegment <> 'BUILDING'", "c_nationkey < 12"))
     return a.exceptAll(b).unionByName(b.exceptAll(a))
 
 
-@_register("SELECT c_custkey AS k FROM customer WHERE c_nationkey = 3 UNION SELECT o_custkey FROM orders WHERE o_orderkey % 10 = 0")
+@_register("SELECT c_custkey AS k FROM customer WHERE c_nationkey = 3 UNION SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def affected_union(s, d):
     a = table(s, d, "customer").filter("c_nationkey = 3").select(F.col("c_custkey").alias("k"))
-    return a.unionByName(table(s, d, "orders").filter("o_orderkey % 10 = 0").select(F.col("o_custkey").alias("k"))).distinct()
+    return a.unionByName(table(s, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("k"))).distinct()
 
 
 # ---- text functions

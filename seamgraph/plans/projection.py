@@ -18,16 +18,17 @@ def _link(df: DataFrame, a: tuple, b: tuple, kind: str) -> DataFrame:
     return df.select(_id(*a).alias("source"), _id(*b).alias("target"), F.lit(kind).alias("kind"))
 
 
-def graph_edges(spark: SparkSession, d: str) -> DataFrame:
-    """(source, target, kind), without repeats."""
+def graph_edges(spark: SparkSession, d: str, repeats: bool = False) -> DataFrame:
+    """(source, target, kind), without repeats; a traversal, which makes what it finds distinct, can do with them."""
     items = table(spark, d, "lineitem")
+    once = (lambda df: df) if repeats else DataFrame.distinct
     parts = [
         _link(table(spark, d, "nation"), ("n", "n_nationkey"), ("r", "n_regionkey"), "Module"),
         _link(table(spark, d, "customer"), ("c", "c_custkey"), ("n", "c_nationkey"), "Import"),
         _link(table(spark, d, "supplier"), ("s", "s_suppkey"), ("n", "s_nationkey"), "Import"),
         _link(table(spark, d, "orders"), ("o", "o_orderkey"), ("c", "o_custkey"), "Call"),
-        _link(items, ("o", "l_orderkey"), ("p", "l_partkey"), "TypeReference").distinct(),
-        _link(items, ("p", "l_partkey"), ("s", "l_suppkey"), "Property").distinct(),
+        once(_link(items, ("o", "l_orderkey"), ("p", "l_partkey"), "TypeReference")),
+        once(_link(items, ("p", "l_partkey"), ("s", "l_suppkey"), "Property")),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -61,6 +62,18 @@ def open_edges(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def graph_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as declarations, with the columns that effects are told from: every fifth body is empty, some have
+    attributes or parameters, those of nation 3 are data."""
+    k, nation = F.col("s_suppkey"), F.col("s_nationkey")
+    return table(spark, d, "supplier").select(
+        _id("s", "s_suppkey").alias("id"), _id("n", "s_nationkey").alias("file"), F.when(nation == 3, "DataDeclaration").otherwise("Function").alias("kind"),
+        F.when(k % 5 == 0, F.lit("fn f() { }")).otherwise(F.concat(F.lit("fn f() { "), "s_name", F.lit(" }"))).alias("source"),
+        F.when(nation == 7, F.array(F.lit("inline"))).otherwise(F.array().cast("array<string>")).alias("attributes"),
+        F.when(k % 10 == 5, 1).otherwise(0).alias("parameter_count"), F.sha2("s_name", 256).alias("body_digest"),
+    )
+
+
 #: The same three as SQL common tables.
 SQL_EDGES = """
 g_edges AS (
