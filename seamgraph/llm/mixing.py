@@ -28,18 +28,17 @@ MOST = 3
 BUCKETS = 4096
 
 
-def _ranked(sources: DataFrame) -> DataFrame:
+def _ranked(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Adds rank: 0 for the least key. Each range partition ranks its own rows; the partitions' sizes,
-    one row for each, shift them."""
+    one row for each, shift them. Also the table that the result reads."""
     n = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = durable(sources.repartitionByRange(n, "s").withColumn("range", F.spark_partition_id()), "ranges")
     before = dealt.groupBy("range").agg(F.count("*").alias("n")).select(
         "range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before")
     )
     own = F.row_number().over(Window.partitionBy("range").orderBy("s")) - 1
-    return dealt.withColumn("own", own).join(before, "range").withColumn("rank", F.col("before") + F.col("own")).drop(
-        "range", "own", "before"
-    )
+    out = dealt.withColumn("own", own).join(before, "range").withColumn("rank", F.col("before") + F.col("own"))
+    return out.drop("range", "own", "before"), dealt
 
 
 def _by_rank(values: tuple, rank: Column) -> Column:
@@ -49,11 +48,12 @@ def _by_rank(values: tuple, rank: Column) -> Column:
 def _targets(sizes: DataFrame, weights: tuple, slopes: tuple, most: int) -> DataFrame:
     """sizes(s, size) -> (s, source_size, slope, target): all words are shared by weight; a source stops
     at `most` times its size and the excess is shared again until none is above."""
-    per = durable(sizes.groupBy("s").agg(F.sum("size").alias("source_size")), "sources")
+    sources = durable(sizes.groupBy("s").agg(F.sum("size").alias("source_size")), "sources")
+    ranked, dealt = _ranked(sources)
     per = durable(
-        _ranked(per).select("s", "source_size", _by_rank(weights, F.col("rank")).alias("weight"), _by_rank(slopes, F.col("rank")).alias("slope")),
-        "ranked",
+        ranked.select("s", "source_size", _by_rank(weights, F.col("rank")).alias("weight"), _by_rank(slopes, F.col("rank")).alias("slope")), "ranked"
     )
+    forget(sources, dealt)
     total = per.agg(F.sum("source_size")).first()[0] or 0
     unit, stopped = 0.0, -1
     cap = F.col("source_size") * most
@@ -65,7 +65,9 @@ def _targets(sizes: DataFrame, weights: tuple, slopes: tuple, most: int) -> Data
         if not open_weight or n == stopped:
             break
         stopped, unit = n, (total - held) / open_weight
-    return per.withColumn("target", F.least(cap.cast("double"), F.lit(unit) * F.col("weight"))).drop("weight")
+    out = durable(per.withColumn("target", F.least(cap.cast("double"), F.lit(unit) * F.col("weight"))).drop("weight"), "targets")
+    forget(per)
+    return out
 
 
 def plan(docs: DataFrame, weights: tuple = WEIGHTS, slopes: tuple = SLOPES, most: int = MOST) -> DataFrame:
@@ -84,7 +86,7 @@ def plan(docs: DataFrame, weights: tuple = WEIGHTS, slopes: tuple = SLOPES, most
         "*", F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), "source")).alias("s"),
         F.xxhash64(F.lit(7), "doc_id", "row_hash").alias("key"),
     ).withColumn("bucket", F.pmod("key", F.lit(BUCKETS))), "sizes")
-    to = durable(_targets(narrow, weights, slopes, most), "targets")
+    to = _targets(narrow, weights, slopes, most)
     by_bucket = narrow.groupBy("s", "bucket").agg(F.sum("size").alias("b"))
     before = by_bucket.withColumn("before", F.sum("b").over(Window.partitionBy("s").orderBy("bucket")) - F.col("b")).drop("b")
     order = Window.partitionBy("s", "bucket").orderBy("key", "doc_id", "row_hash")
@@ -108,10 +110,12 @@ def plan(docs: DataFrame, weights: tuple = WEIGHTS, slopes: tuple = SLOPES, most
 
     n = F.when(F.col("size") > 0, F.col("full") + (F.col("part") > 0).cast("long")).otherwise(0)
     copies = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(most).cast("long")), lambda p: p < n), copy)
-    return out.select(
+    out = durable(out.select(
         "doc_id", "source", "row_hash", "nth", "size", "source_size", "target",
         (F.col("full") * F.col("size") + F.col("part")).alias("taken"), copies.alias("copies"),
-    )
+    ), "plan")
+    forget(narrow, to)
+    return out
 
 
 def range_sorted(df: DataFrame, total: float, *ties: str) -> DataFrame:
@@ -125,7 +129,7 @@ def range_sorted(df: DataFrame, total: float, *ties: str) -> DataFrame:
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The plan in training order, by each document's first copy; documents that are not taken have no
     position."""
-    out = durable(plan(docs, **how).withColumn("position", F.get("copies", F.lit(0))["position"]), "plan")
+    out = plan(docs, **how).withColumn("position", F.get("copies", F.lit(0))["position"])
     total = out.agg(F.sum("taken")).first()[0] or 0
     return range_sorted(out, float(total), "doc_id")
 
@@ -135,7 +139,7 @@ def mixed_documents(docs: DataFrame, whole: bool = False, **how) -> DataFrame:
     copy that is taken in part holds its first words, joined by single spaces; if whole, it is taken with
     its whole text where that is nearer the target, else left."""
     cols = list(docs.columns)
-    own = durable(plan(docs, **how).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_h"), F.col("nth").alias("_nth"), "taken", "size", "copies"), "plan")
+    own = plan(docs, **how).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_h"), F.col("nth").alias("_nth"), "taken", "size", "copies")
     total = own.agg(F.sum("taken")).first()[0] or 0
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
     rows = docs.select(packed(docs), key.alias("_key"), row_hash(docs).alias("_h"))
