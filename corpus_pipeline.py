@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamgraph.llm.common import durable
+from seamgraph.llm.common import durable, forget
 from seamgraph.llm.linededup import MIN_WORDS, line_dedup
 from seamgraph.llm.mixing import mixed_documents
 from seamgraph.llm.pieces import encode_decode
@@ -65,5 +65,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's result is a table in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        kept = durable(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        forget(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
