@@ -66,3 +66,13 @@ def test_whole_copies(spark, table, words):
     for s, target in shares(sizes).items():
         taken = sum(len(r["text"].split()) for r in rows if r["source"] == s)
         assert abs(taken - target) <= 21 / 2 + 1 and taken <= 3 * sizes[s]
+
+
+def test_maps_and_long_texts(spark, words):
+    long = " ".join(words * 20_000)
+    rows = [(k, long if k == 0 else " ".join(words), "a", {"x": k}, [{"y": 1}]) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra map<string,int>, more array<map<string,int>>")
+    taken = {r["doc_id"]: (r["size"], r["taken"]) for r in mix(docs).collect()}
+    assert taken[0][0] == len(words) * 20_000 and sum(t for _, t in taken.values()) == sum(s for s, _ in taken.values())
+    out = mixed_documents(docs)
+    assert out.columns == docs.columns and {tuple(r["extra"].items()) for r in out.collect()} == {(("x", k),) for k in range(3)}

@@ -45,3 +45,13 @@ def test_operator(spark, table, library):
         ids = library.encode(t or "")
         assert (got[k]["ids"], got[k]["decoded"]) == (ids, library.decode(ids))
     assert encode_decode(table(["a"]).limit(0), PATH).count() == 0
+
+
+def test_long_texts(spark, table, library):
+    rng = random.Random(7)
+    signs = "abcdeth ▁\n漢字é😀  ing\tS.,12"
+    texts = ["".join(rng.choices(signs, k=n)) for n in (3_001, 40_000, 300_000)] + ["a" * 20_000, "漢" * 9_000, " " * 5_000, "word " * 30_000]
+    got = {r["doc_id"]: r for r in encode_decode(table(texts), PATH).collect()}
+    for k, t in enumerate(texts):
+        ids = library.encode(t)
+        assert (got[k]["ids"], got[k]["decoded"]) == (ids, library.decode(ids))

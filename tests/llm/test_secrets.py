@@ -60,3 +60,10 @@ def test_against_brute_force(spark, table):
 
 def test_empty_table(spark, table):
     assert S.secret_scan(table(["a"]).limit(0)).count() == 0
+
+
+def test_many_matches_in_one_text(spark, table):
+    text = " ".join(f"token={k:012}ab {k:016x}" for k in range(4000))
+    row = S.secret_scan(table([text])).first()
+    base, every = brute(text)
+    assert [tuple(x) for x in row["base"]] == base and [tuple(x) for x in row["found"]] == every and len(base) == 8000

@@ -101,3 +101,16 @@ def test_components(spark):
         assert root == min(seen)
     assert set(got) == {n for n in near if near[n] - {n}}
     assert connected_components(spark.createDataFrame([], "u long, v long"), "t").count() == 0
+
+
+def test_long_texts_cross_the_chunk(spark, table, words):
+    rng = random.Random(3)
+    for n in (65_535, 65_536, 65_537, 65_538, 131_074):
+        text = " ".join(rng.choices(words, k=n))
+        assert H.fingerprint(text) & (1 << 64) - 1 == fingerprint(text)
+
+
+def test_keep_one_with_maps(spark):
+    rows = [(2, "a b c d", {"k": 1}), (1, "a b c d", None), (1, "a b c d", None), (None, "a b c d", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra map<string,int>")
+    assert [r["doc_id"] for r in H.keep_one(docs).collect()] == [1]
