@@ -8,20 +8,31 @@ from pyspark.sql import functions as F
 OBSERVATION = "file string, kind string, start int, category string, targets array<struct<file:string,start:int,`end`:int>>"
 
 
-def observations(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Typed observations from JSON lines; lines of another shape are dropped by the schema, not guessed at."""
-    return lines.select(F.from_json(F.col(column), OBSERVATION).alias("o")).filter("o.file IS NOT NULL AND o.kind IS NOT NULL").select("o.*")
+def observations(lines: DataFrame, column: str = "value", refuse: bool = True) -> DataFrame:
+    """Typed observations from JSON lines. A line of another shape fails the query; with refuse=False it is left out."""
+    read = lines.select(F.from_json(F.col(column), OBSERVATION).alias("o"))
+    whole = F.coalesce(*[F.when(F.col(f"o.{c}").isNull(), F.lit(False)) for c in ("file", "kind", "start", "targets")], F.lit(True))
+    whole = whole & F.coalesce(F.forall("o.targets", lambda t: t["file"].isNotNull() & t["start"].isNotNull() & t["end"].isNotNull()), F.lit(False))
+    if refuse:
+        return read.select(F.when(whole, F.col("o")).otherwise(F.raise_error(F.lit("InvalidEvidence: an observation of another shape")).cast(read.schema["o"].dataType)).alias("o")).select("o.*")
+    return read.filter(whole).select("o.*")
 
 
-def located(found: DataFrame, symbols: DataFrame) -> DataFrame:
+def located(found: DataFrame, symbols: DataFrame, most: int | None = None) -> DataFrame:
     """Observed target ranges as declarations: those of the file that end where the range ends, start in it and
-    are functions or methods. The end is an equality, so the join is one shuffle."""
+    are functions or methods. The end is an equality, so the join is one shuffle. With most, a file with more targets than
+    that fails the query."""
     one = found.select("file", "kind", "start", F.explode("targets").alias("t"))
     s = symbols.filter(F.col("kind").isin("Function", "Method")).select(
         F.col("file").alias("s_file"), F.col("start").alias("s_start"), F.col("end").alias("s_end"), F.col("id").alias("target")
     )
     hit = one.join(s, (F.col("t.file") == F.col("s_file")) & (F.col("t.end") == F.col("s_end")) & (F.col("s_start") >= F.col("t.start")))
-    return hit.groupBy("file", "kind", "start").agg(F.array_sort(F.collect_set("target")).alias("compiler_targets"))
+    at = hit.groupBy("file", "kind", "start").agg(F.array_sort(F.collect_set("target")).alias("compiler_targets"))
+    if most is None:
+        return at
+    over = at.groupBy("file").agg(F.sum(F.size("compiler_targets")).alias("_n"))
+    kept = F.when(F.col("_n") <= most, F.col("compiler_targets")).otherwise(F.raise_error(F.lit("ResourceLimitExceeded: compiler targets")).cast("array<string>"))
+    return at.join(over, "file").select("file", "kind", "start", kept.alias("compiler_targets"))
 
 
 def projected_id(source: Column, file: Column, kind: Column, start: Column, target: Column) -> Column:

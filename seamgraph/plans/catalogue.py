@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..model import Limits
 from ..operators import digests, enrich, graph, joins, paging
+from ..sources import inventory
 from . import build
-from .projection import SQL_EDGES, SQL_NODES, SQL_OPEN, graph_edges, graph_nodes, graph_symbols, open_edges, table
+from .projection import SQL_EDGES, SQL_NODES, SQL_OPEN, graph_analysis, graph_edges, graph_nodes, graph_symbols, open_edges, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -242,6 +244,23 @@ def name_resolution_status(s, d):
     return calls.join(known, ["file", "name"], "left").select("call", n.alias("candidates"), joins.resolution(n).alias("resolution"), F.when(n == 1, F.col("one")).alias("target"))
 
 
+@_register(
+    """WITH p AS (SELECT *, replace(p_name, ' ', '_') AS n, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS ordinal FROM part),
+    d AS (SELECT 'p' || p_partkey AS id, p_brand AS file, n || '_' || p_size AS name, p_type = 'STANDARD' AS marked FROM p),
+    i AS (SELECT p_brand AS file, ordinal, list_sort(list_distinct(list(b.brand) FILTER (b.brand IS NOT NULL))) AS found
+          FROM p LEFT JOIN (SELECT DISTINCT p_brand AS brand FROM part) b ON b.brand IN ('Brand#' || (p_size + 10), 'Brand#' || (p_size + 20)) WHERE p_size <= 10 GROUP BY ALL),
+    c AS (SELECT p.p_brand AS file, ordinal, list(d.id) FILTER (d.id IS NOT NULL) AS found, bool_or(d.marked) AS marked
+          FROM p LEFT JOIN d ON d.file = p.p_brand AND d.name = n || '_' || (CASE WHEN p_size <= 30 THEN p_size ELSE p_size + 20 END) WHERE p_size > 10 GROUP BY ALL),
+    e AS (SELECT file, ordinal, 'Import' AS kind, coalesce(found, []) AS found, CASE len(coalesce(found, [])) WHEN 0 THEN 'Unresolved' WHEN 1 THEN 'Resolved' ELSE 'CandidateTargets' END AS resolution FROM i
+      UNION ALL SELECT file, ordinal, 'Call', coalesce(found, []), CASE WHEN len(coalesce(found, [])) = 0 THEN 'Unresolved' WHEN len(found) = 1 AND NOT marked THEN 'Resolved' ELSE 'CandidateTargets' END FROM c)
+    SELECT file, ordinal::INT AS ordinal, kind, resolution, t AS target FROM (SELECT *, unnest(CASE WHEN len(found) = 0 THEN [NULL] ELSE found END) AS t FROM e)"""
+)
+def edge_resolution(s, d):
+    """The builder's own resolution of imports and calls over parts as declarations."""
+    analysis, symbols = graph_analysis(s, d)
+    return build.resolve(analysis, symbols, Limits(result_size=1 << 30)).select("file", "ordinal", "kind", "resolution", "target")
+
+
 @_register(
     """WITH c AS (SELECT s_suppkey AS call, unnest([s_suppkey, s_suppkey * 2, s_suppkey + 1000000]) AS k FROM supplier),
     j AS (SELECT call, list_sort(list_distinct(list(p_partkey) FILTER (p_partkey IS NOT NULL))) AS t FROM c LEFT JOIN part ON k = p_partkey GROUP BY call)
@@ -584,10 +603,16 @@ def path_algebra(s, d):
     return table(s, d, "pages").select("page_id", T.dirname(u).alias("dir"), T.basename(u).alias("base"))
 
 
-@_register("SELECT page_id, CASE WHEN url LIKE '%.html' THEN 'html' WHEN url LIKE '%.js' THEN 'javascript' WHEN url LIKE '%.json' THEN 'json' ELSE 'unsupported' END AS language FROM pages")
+_KNOWN = ", ".join(f"('{k}', '{v}')" for k, v in (inventory.BY_NAME | inventory.BY_SUFFIX).items())
+
+
+@_register(
+    f"""WITH k AS (SELECT * FROM (VALUES {_KNOWN}) v(key, language)),
+    p AS (SELECT page_id, regexp_extract(url, '([^/]*)/?$', 1) AS name FROM pages)
+    SELECT page_id, coalesce(a.language, b.language, 'unsupported') AS language FROM p LEFT JOIN k a ON a.key = p.name LEFT JOIN k b ON b.key = regexp_extract(p.name, '^.+(\\.[^.]+)$', 1)"""
+)
 def language_classify(s, d):
-    u = F.col("url")
-    return table(s, d, "pages").select("page_id", F.when(u.endswith(".html"), "html").when(u.endswith(".js"), "javascript").when(u.endswith(".json"), "json").otherwise("unsupported").alias("language"))
+    return table(s, d, "pages").select("page_id", F.coalesce(inventory.language_column(F.col("url")), F.lit("unsupported")).alias("language"))
 
 
 @_register("SELECT p_partkey, (p_partkey // 26 % 26 + 1) * 26 + (p_partkey % 26 + 1) AS col FROM part")

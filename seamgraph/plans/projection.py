@@ -74,6 +74,32 @@ def graph_symbols(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def graph_analysis(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(analysis, symbols) as the builder has them: a brand is a file, each of its parts declares a name and makes one
+    relation: an import of one or two brands' paths (small parts), a call of the part's own name (middling ones), or a call
+    of a name that few declare."""
+    p = table(spark, d, "part")
+    name = F.replace("p_name", F.lit(" "), F.lit("_"))
+    sized = lambda n: F.concat(name, F.lit("_"), n.cast("string"))
+    file, none = F.col("p_brand"), F.array().cast("array<string>")
+    symbols = p.select(
+        _id("p", "p_partkey").alias("id"), file.alias("file"), sized(F.col("p_size")).alias("name"), sized(F.col("p_size")).alias("qualified"),
+        F.when(F.col("p_type") == "STANDARD", F.array(F.lit("inline"))).otherwise(none).alias("attributes"),
+    )
+    brand = lambda n: F.concat(F.lit("Brand#"), n.cast("string"))
+    small, size = F.col("p_size") <= 10, F.col("p_size")
+    relation = F.struct(
+        F.col("p_partkey"), F.when(small, "Import").otherwise("Call").alias("kind"), _id("p", "p_partkey").alias("source"),
+        F.when(small, F.lit("x")).when(size <= 30, sized(size)).otherwise(sized(size + 20)).alias("name"), F.lit(0).alias("start"),
+        F.lit("Unresolved").alias("resolution"), none.alias("targets"), F.lit("").alias("syntax_digest"), F.lit(False).alias("shadowed"),
+        F.lit(None).cast("string").alias("module"), none.alias("bindings"), F.lit(False).alias("type_only"),
+        F.array().cast("array<struct<name:string,local:string>>").alias("aliases"),
+        F.when(small, F.array(brand(size + 10), brand(size + 20))).alias("candidates"),
+    )
+    analysis = p.groupBy(file.alias("id")).agg(F.sort_array(F.collect_list(relation)).alias("relations"))
+    return analysis.select("id", F.col("id").alias("path"), F.lit("rust").alias("language"), F.lit(1).alias("syntax_units"), "relations"), symbols
+
+
 #: The same three as SQL common tables.
 SQL_EDGES = """
 g_edges AS (

@@ -16,7 +16,7 @@ import re
 import tomllib
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
-from pathlib import Path
+from importlib import resources
 
 from ..model import VERSION, Limits, SymbolRef, TypeRef, digest, fail
 
@@ -31,9 +31,19 @@ _LONG_NUMBER = re.compile(r"\b(?:[0-9]{6,}|0x[a-fA-F0-9]+)\b")
 
 
 def implementation() -> str:
-    """Changes with any of the package's sources."""
-    top = Path(__file__).parent.parent
-    return digest({p.relative_to(top).as_posix(): hashlib.sha256(p.read_bytes()).hexdigest() for p in sorted(top.glob("*.py")) + sorted(top.glob("sources/*.py"))})
+    """Changes with any of the package's sources that a graph is built by. They are read as the package's resources, so the
+    executors, who have them in an archive, tell the same."""
+    found = {}
+
+    def walk(folder, at: str) -> None:
+        for x in folder.iterdir():
+            if x.is_dir() and x.name not in ("llm", "__pycache__"):
+                walk(x, f"{at}{x.name}/")
+            elif x.name.endswith(".py"):
+                found[at + x.name] = hashlib.sha256(x.read_bytes()).hexdigest()
+
+    walk(resources.files(__package__.partition(".")[0]), "")
+    return digest(found)
 
 
 def provenance(language: str) -> dict:

@@ -13,7 +13,8 @@ import stat
 import tomllib
 from pathlib import Path, PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..model import Limits, RepositoryRef, fail
@@ -83,6 +84,23 @@ def language_of(root, relative: str, mode: int, most: int) -> str | None:
     return hit and ("python" if hit["c"] else "bash")
 
 
+def language_column(path: Column, first_line: Column | None = None) -> Column:
+    """language_of over a column of paths, for tables of files: by name, else suffix, else, where there is none, the first
+    line of an executable (null for others); null if nothing knows it."""
+
+    def of(table: dict[str, str], key: Column) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for item in table.items() for x in item]), key)
+
+    name = F.regexp_extract(path, r"([^/]*)/?$", 1)
+    suffix = F.regexp_extract(name, r"^.+(\.[^.]+)$", 1)
+    known = F.coalesce(of(BY_NAME, name), of(BY_SUFFIX, suffix))
+    if first_line is None:
+        return known
+    shell = F.regexp_like(first_line, F.lit("^#!(?:/bin/|/usr/bin/env )(?:bash|sh)$"))
+    snake = F.regexp_like(first_line, F.lit("^#!/usr/bin/(?:env )?python3$"))
+    return F.coalesce(known, F.when(suffix == "", F.when(shell, "bash").when(snake, "python")))
+
+
 def inventory(root, limits: Limits = Limits()) -> tuple[list[tuple[str, str]], list[dict]]:
     """(path, language) of every file to analyse, in order, and what was refused on the way."""
     limits.check()

@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+import pytest
 from seamgraph.operators import enrich
 from seamgraph.streaming.events import event_stream, windowed_counts
 
@@ -10,12 +11,19 @@ def test_observations_become_candidate_edges(spark):
         {"file": "f1", "kind": "Call", "start": 4, "category": "function", "targets": [{"file": "f2", "start": 1, "end": 9}, {"file": "f9", "start": 0, "end": 1}]},
         {"other": 1},
     ]
-    found = enrich.observations(spark.createDataFrame([(json.dumps(x),) for x in lines] + [("no json",)], "value string"))
+    given = spark.createDataFrame([(json.dumps(x),) for x in lines] + [("no json",)], "value string")
+    with pytest.raises(Exception, match="InvalidEvidence"):
+        enrich.observations(given).collect()
+    found = enrich.observations(given, refuse=False)
+    assert found.count() == enrich.observations(given.limit(1)).count() == 1
     symbols = spark.createDataFrame(
         [("s1", "f2", "Function", 2, 9), ("s2", "f2", "Struct", 2, 9), ("s3", "f2", "Method", 0, 9)], "id string, file string, kind string, start int, `end` int"
     )
     at = enrich.located(found, symbols)
     assert [r["compiler_targets"] for r in at.collect()] == [["s1"]]
+    assert enrich.located(found, symbols, most=1).count() == 1
+    with pytest.raises(Exception, match="ResourceLimitExceeded"):
+        enrich.located(found, symbols, most=0).collect()
     edges = spark.createDataFrame([("e1", "a", None, "Call", "Unresolved", "f1", 4), ("e2", "a", "s1", "Call", "Resolved", "f1", 4)], "id string, source string, target string, kind string, resolution string, file string, start int")
     rows = enrich.project_targets(edges, at).collect()
     assert sorted((r["target"] or "", r["resolution"], r["basis"] or "") for r in rows) == [
