@@ -45,9 +45,11 @@ lv AS (SELECT 1 AS lv, lang, source, k, b, n FROM b UNION ALL SELECT 2, lang, NU
 c AS (SELECT *, sum(n) OVER (PARTITION BY lv, lang, source, k ORDER BY b) AS upto, sum(n) OVER (PARTITION BY lv, lang, source, k) AS total FROM lv),
 z AS (SELECT lv, lang, source, k, any_value(total) AS total, min(b) FILTER (upto * 100 >= total * 10) AS q10,
       min(b) FILTER (upto * 100 >= total * 50) AS q50 FROM c GROUP BY lv, lang, source, k),
-f AS (SELECT o.lang, o.source, o.k,
-        CASE WHEN o.total >= 200 THEN o.q50 + 4 * (o.q50 - o.q10) WHEN l.total >= 200 THEN l.q50 + 4 * (l.q50 - l.q10) ELSE t.q50 + 4 * (t.q50 - t.q10) END AS f
-      FROM z o JOIN z l ON o.lv = 1 AND l.lv = 2 AND o.k = l.k AND o.lang IS NOT DISTINCT FROM l.lang JOIN z t ON t.lv = 3 AND t.k = o.k),
+x AS (SELECT l.lang, l.k, (l.total * l.q10 + 200 * t.q10) // (l.total + 200) AS q10, (l.total * l.q50 + 200 * t.q50) // (l.total + 200) AS q50
+      FROM z l JOIN z t ON l.lv = 2 AND t.lv = 3 AND t.k = l.k),
+y AS (SELECT o.lang, o.source, o.k, (o.total * o.q10 + 200 * x.q10) // (o.total + 200) AS q10, (o.total * o.q50 + 200 * x.q50) // (o.total + 200) AS q50
+      FROM z o JOIN x ON o.lv = 1 AND o.k = x.k AND o.lang IS NOT DISTINCT FROM x.lang),
+f AS (SELECT lang, source, k, q50 + 4 * (q50 - q10) AS f FROM y),
 j AS (SELECT v.doc_id, bool_and(v.v <= f.f + v.slack) AS within FROM v JOIN f ON v.k = f.k AND v.lang IS NOT DISTINCT FROM f.lang
       AND v.source IS NOT DISTINCT FROM f.source GROUP BY v.doc_id)
 SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,

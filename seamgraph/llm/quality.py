@@ -3,8 +3,9 @@
 A sketch of a metric is its histogram over buckets that keep four bits below the leading one (values
 below 16 are exact), so a quantile is off by a sixteenth of its value at most. Sketches merge by adding
 counts: those of a language's sources give the language's, and those of all languages the corpus's. Each
-(language, source) takes its fences from its own sketch, or from the next wider one that holds MIN_GROUP
-documents. A fence is the median plus REACH times its distance from the lower decile plus the metric's
+(language, source) takes its fences from its own quantiles, drawn towards its language's, and those towards the
+corpus's, as if PRIOR more documents said the same as the wider sketch: a small group follows the wider one, and the
+more documents it holds the more it speaks for itself, without a switch at any size. A fence is the median plus REACH times its distance from the lower decile plus the metric's
 slack, so what a source usually holds sets its cutoffs and a junk minority cannot move them.
 """
 
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import durable, let, packed, words
 
-#: Documents that a sketch must hold to set fences.
-MIN_GROUP = 200
+#: How many documents the wider sketch counts for in a group's quantiles.
+PRIOR = 200
 REACH = 4
 #: Slack of each metric, in its own unit: parts of a thousand, or hundredths of a character for word_length.
 SLACK = {"symbols": 20, "capitals": 60, "exclaims": 10, "dup_lines": 350, "repeats": 350, "word_length": 100}
@@ -106,13 +107,17 @@ def _quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
     return ranked.groupBy(*by, "metric").agg(F.first("total").alias("total"), first(10).alias("q10"), first(50).alias("q50"))
 
 
-def fences(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+def fences(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
     """(_lang, _source, fence): fence is a struct with the largest value that each metric may have."""
     own, lang, top = (_quantiles(sketch, by) for by in (["_lang", "_source"], ["_lang"], []))
     join = own.alias("o").join(lang.alias("l"), F.col("o._lang").eqNullSafe(F.col("l._lang")) & (F.col("o.metric") == F.col("l.metric"))).join(
         top.alias("t"), F.col("o.metric") == F.col("t.metric")
     )
-    pick = lambda c: F.when(F.col("o.total") >= min_group, F.col(f"o.{c}")).when(F.col("l.total") >= min_group, F.col(f"l.{c}")).otherwise(F.col(f"t.{c}"))
+
+    def pick(c: str) -> Column:
+        wide = F.expr(f"(l.total * l.{c} + {prior}L * t.{c}) DIV (l.total + {prior}L)")
+        return F.call_function("div", F.col("o.total") * F.col(f"o.{c}") + prior * wide, F.col("o.total") + prior)
+
     slack = F.coalesce(*[F.when(F.col("o.metric") == k, F.lit(v)) for k, v in SLACK.items()])
     fence = join.select("o._lang", "o._source", "o.metric", (pick("q50") + REACH * (pick("q50") - pick("q10")) + slack).alias("fence"))
     return fence.groupBy("_lang", "_source").agg(F.struct(*[F.max(F.when(F.col("metric") == k, F.col("fence"))).alias(k) for k in SLACK]).alias("fence"))
@@ -129,7 +134,7 @@ def _judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & F.coalesce(within, F.lit(False)))
 
 
-def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+def quality_rules(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     """documents -> (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept),
     one row per document.
 
@@ -137,15 +142,15 @@ def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     their own. Repeated rows are judged alike. An empty table gives an empty result; extra columns are
     ignored."""
     measured = durable(_measured(docs, [F.col("doc_id").cast("long").alias("doc_id")]), "measured")
-    limits = durable(fences(sketches(measured), min_group), "fences")
+    limits = durable(fences(sketches(measured), prior), "fences")
     cols = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return _judged(measured, limits).select("doc_id", *[F.col("s")[c].alias(c) for c in cols], "base_failed", "kept")
 
 
-def quality_filter(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+def quality_filter(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     """The documents that the rules keep, with docs' columns. Each text is measured once: the measures are written
     beside the rows, and the verdict is joined to them."""
     cols = docs.columns
     measured = durable(_measured(docs, [packed(docs)]), "measured")
-    limits = durable(fences(sketches(measured), min_group), "fences")
+    limits = durable(fences(sketches(measured), prior), "fences")
     return _judged(measured, limits).filter("kept").select(*[F.col("_row")[c].alias(c) for c in cols])
