@@ -68,7 +68,8 @@ def met(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: i
     hot = F.broadcast(right.filter(F.col(count) > limit))
     cold = right.filter(F.col(count) <= limit)
     rest = left.join(F.broadcast(right.filter(F.col(count) > limit).select(*keys)), keys, "left_anti")
-    return left.join(hot, keys).drop(count).unionByName(rest.join(cold, keys, how).drop(count))
+    # cold keys grow with the input, so they are shuffled at every size
+    return left.join(hot, keys).drop(count).unionByName(rest.join(cold.hint("merge"), keys, how).drop(count))
 
 
 def row_hash(docs: DataFrame) -> Column:

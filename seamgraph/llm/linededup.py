@@ -124,7 +124,8 @@ def line_dedup(docs: DataFrame, min_run: int = MIN_RUN, min_words: int | None =
         rows = rows.join(repeats, ["id", "h"], "left_semi").select("_row", "id", "h", nth.alias("first")).unionByName(
             rows.join(repeats, ["id", "h"], "left_anti").select("_row", "id", "h", first)
         )
-    out = rows.join(repeated_runs(docs, min_run, min_words), ["id", "h"], "left")
+    # runs grow with the input: never broadcast, so that the plan is the same at every size
+    out = rows.join(repeated_runs(docs, min_run, min_words).hint("merge"), ["id", "h"], "left")
     raw = F.col("_row.text").cast("string")
 
     def cut(lines: Column) -> Column:
