@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the cluster's shared folder; a temporary one only where none is set."""
+    """A checkpoint in the cluster's shared folder; a temporary one only where none is set and one machine does all the work."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        at = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='seamgraph-')}"
-        spark.sparkContext.setCheckpointDir(at)
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(at or f"file://{tempfile.mkdtemp(prefix='seamgraph-')}")
     return df.checkpoint()

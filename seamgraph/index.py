@@ -17,7 +17,7 @@ from .model import (
     FORMAT, VERSION, Effect, EvidenceRequest, Limits, PacketLimits, Ref, Relation, RepositoryRef, SourceFileRef, SymbolRef,
     TypeRef, canonical, digest, fail,
 )
-from .operators import joins, paging
+from .operators import graph, joins, paging
 from .plans import build
 from .sources import adapters
 from .sources import inventory as trees
@@ -297,7 +297,9 @@ class Index:
             seen |= dict.fromkeys(front)
             order = self.spark.createDataFrame(list(enumerate(front)), "place int, node string")
             room = max_edges - len(edges)
-            level = self.t[table].join(F.broadcast(order), F.col(here) == F.col("node"))  # a level is max_nodes rows at most
+            # a short frontier is a filter that prunes row groups; a level is max_nodes rows at most
+            rows_of = self.t[table].filter(F.col(here).isin(front)) if len(front) <= graph.IN_FILTER else self.t[table]
+            level = rows_of.join(F.broadcast(order), F.col(here) == F.col("node"))
             rows = [r.asDict(recursive=True) for r in level.orderBy("place", "id").limit(room + 1).collect()]
             partial |= len(rows) > room
             found: dict[str, None] = {}
