@@ -42,7 +42,7 @@ _KEY = ["h1", "h2"]
 _RUNS = "array<struct<at:int,n:int>>"
 _STATE = (
     "h1 long, h2 long, m long, n int, a array<long>, b array<long>, start array<int>, size array<int>, before array<int>, after array<int>, "
-    f"first array<short>, last array<short>, kind array<byte>, ask array<long>, once {_RUNS}, grams array<struct<a:long,b:long,at:int,n:int>>"
+    f"first array<short>, last array<short>, kind array<byte>, once {_RUNS}, grams array<struct<a:long,b:long,at:int,n:int>>"
 )
 _NAMES = [f.split()[0] for f in _STATE.replace(_RUNS, "x").replace("array<struct<a:long,b:long,at:int,n:int>>", "x").split(", ")]
 
@@ -98,7 +98,6 @@ def _state(keys, p: Parse, once, grams):
     import pyarrow as pa
 
     rows = len(keys[0])
-    fresh = p.kind == FRESH
     i64 = lambda x: x.view(np.int64)
     lists = [
         i64(p.a), i64(p.b), p.start.astype(np.int32), (p.end - p.start).astype(np.int32), (p.start - p.lo).astype(np.int32),
@@ -107,7 +106,7 @@ def _state(keys, p: Parse, once, grams):
     at, n, owner = once
     a, b, g_at, g_n, g_owner = grams
     return pa.RecordBatch.from_arrays(
-        [*keys, *[_list(x, p.row, rows) for x in lists], _list(i64(p.a[fresh]), p.row[fresh], rows),
+        [*keys, *[_list(x, p.row, rows) for x in lists],
          _list(_struct(at=at.astype(np.int32), n=n.astype(np.int32)), owner, rows),
          _list(_struct(a=i64(a), b=i64(b), at=g_at.astype(np.int32), n=g_n.astype(np.int32)), g_owner, rows)],
         _NAMES,
@@ -167,21 +166,22 @@ def _next_parse(state: DataFrame, size: int, done: int, longest: int | None) ->
         (a, row), (b, _), (start, _), (width, _), (before, _), (after, _), (first, _), (last, _), (kind, _) = (_flat(t.column(k)) for k in range(4, 13))
         p = Parse(row=row, a=a.view(U), b=b.view(U), start=start, end=start + width, lo=start - before, hi=start + width + after, first=first, last=last, kind=kind.copy())
         fresh = np.flatnonzero(p.kind == FRESH)
-        asked = np.bincount(row[fresh], minlength=len(n))
-        head = np.cumsum(asked) - asked
-        again, doc = _flat(t.column(16).fill_null([]))
-        known = np.arange(len(fresh)) - np.repeat(head, asked) >= ORD
-        ok = again < asked[doc]  # others belong to a text that shares the key's upper bits
-        known[head[doc[ok]] + again[ok]] = True
+        count = np.bincount(row, minlength=len(n))
+        head = np.cumsum(count) - count
+        again, doc = _flat(t.column(15).fill_null([]))
+        shared = np.arange(len(row)) - head[row] >= ORD
+        ok = again < count[doc]  # others belong to a text that shares the key's upper bits
+        shared[head[doc[ok]] + again[ok]] = True
+        known = shared[fresh]
         p.kind[fresh] = np.where(known, SHARED, FENCE)
         alone, shared = fresh[~known], fresh[known]
         # a context that reaches over the text's border lies in no window
         alone = alone[(p.lo[alone] >= 0) & (p.hi[alone] <= n[row[alone]]) & (p.hi[alone] - p.lo[alone] <= size)]
         least = np.maximum(0, p.hi[alone].astype(np.int64) - size)
-        at, count, owner = _flat(t.column(14), "at", "n")
+        at, count, owner = _flat(t.column(13), "at", "n")
         once = _merged(np.concatenate([at, least]), np.concatenate([count, p.lo[alone] - least + 1]), np.concatenate([owner, row[alone]]))
         g = shared[p.end[shared] - p.start[shared] >= size]
-        ga, gb, g_at, g_n, g_row = _flat(t.column(15), "a", "b", "at", "n")
+        ga, gb, g_at, g_n, g_row = _flat(t.column(14), "a", "b", "at", "n")
         rows = np.concatenate([g_row, row[g]])
         order = np.argsort(rows, kind="stable")
         grams = [
@@ -207,10 +207,10 @@ def _shared_names(state: DataFrame) -> DataFrame:
     """(high, again): the round's table of names, those with two places or more in the corpus, as the ordinals of
     every text's new symbols that have them."""
     high = F.col("h1").bitwiseAND(F.lit(~ORD)).alias("high")
-    asked = state.select(high, "m", F.posexplode("ask").alias("nth", "name"))
+    asked = state.select(high, "m", "kind", F.posexplode("a").alias("nth", "name")).filter(F.get("kind", F.col("nth")) == int(FRESH)).drop("kind")
     names = asked.groupBy("name").agg(F.sum("m").alias("n"), F.count("*").alias("k")).filter("n > 1").select("name", "k")
     names = durable(names, "names")
-    total = state.agg(F.sum(F.size("ask"))).first()[0] or 0
+    total = state.agg(F.sum(F.size(F.filter("kind", lambda k: k == int(FRESH))))).first()[0] or 0
     places = asked.filter(F.col("nth") < ORD).select("name", F.col("high").bitwiseOR(F.col("nth")).alias("place"))
     places = met(places, names, ["name"], "k", total).select("place")
     again = places.groupBy(F.col("place").bitwiseAND(F.lit(~ORD)).alias("high"))
