@@ -39,21 +39,23 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None, reverse: bo
     steps = edges.select(F.col(here).alias("_from"), F.col(there).alias("_to")).filter("_from IS NOT NULL AND _to IS NOT NULL")
     first = seeds.select("node").distinct()
     front = cut((first.orderBy("node").limit(max_nodes) if max_nodes is not None else first).withColumn("depth", F.lit(0)))
-    levels, n, total, depth = [front], front.count(), 0, 0
+    n, total, depth = front.count(), 0, 0
+    levels = [(front, n)]
     while n and (max_depth is None or depth < max_depth):
         depth, total = depth + 1, total + n
         if max_nodes is not None and total >= max_nodes:
             break
         found = _steps_from(steps, front.select("node"), n).select(F.col("_to").alias("node")).distinct()
-        for level in levels:  # by level, so that each one's own size decides how it is joined
-            found = found.join(level.select("node"), "node", "left_anti")
+        for level, size in levels:  # by level, so that each one's own size decides how it is joined
+            known = level.select("node")
+            found = found.join(F.broadcast(known) if size <= IN_BROADCAST else known, "node", "left_anti")
         if max_nodes is not None:
             found = found.orderBy("node").limit(max_nodes - total)
         front = cut(found.withColumn("depth", F.lit(depth)))
         n = front.count()
-        levels.append(front)
+        levels.append((front, n))
         if len(levels) > LEVELS:
-            levels = [cut(_union(levels[:-1])), front]
+            levels = [(cut(_union(levels[:-1])), total), (front, n)]
     return _union(levels)
 
 
@@ -61,9 +63,9 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None, reverse: bo
 LEVELS = 8
 
 
-def _union(levels: list[DataFrame]) -> DataFrame:
-    out = levels[0]
-    for level in levels[1:]:
+def _union(levels: list[tuple[DataFrame, int]]) -> DataFrame:
+    out = levels[0][0]
+    for level, _ in levels[1:]:
         out = out.unionByName(level)
     return out
 
