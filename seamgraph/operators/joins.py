@@ -29,19 +29,67 @@ def longest_prefix(paths: DataFrame, path: str, owners: DataFrame, prefix: str,
 
 
 def contained_in(points: DataFrame, point: str, spans: DataFrame, start: str, end: str, name: str, step: int) -> DataFrame:
-    """points plus name of the smallest span (start <= point < end) that holds it, the least name of equal ones. Spans are
-    listed under each bucket of `step` that they touch, so the join is by equality; the points' side of a hot bucket
-    may be split. A point is told from its equals by a key of its own, so nulls in other columns do no harm."""
-    listed = spans.filter(F.col(start) < F.col(end)).select(
-        F.explode(F.sequence(F.floor(F.col(start) / step), F.floor((F.col(end) - 1) / step))).alias("_bucket"),
-        F.col(start).alias("_start"), F.col(end).alias("_end"), F.col(name).alias("_name"),
-    )
+    """points plus name of the smallest span (start <= point < end) that holds it, the least name of equal ones. Each span
+    is cut at borders of blocks about as long as it is, so that within a block a piece reaches from or up to the block's
+    border, and running minima in both directions answer every distinct point: the work grows with the rows, not with the
+    pairs that meet. Blocks are no longer than `step` (rounded up to a power of two): of longer spans the inner blocks are
+    spans over the blocks' numbers. Both tables are read several times."""
+    types = [dict(points.dtypes)[point], dict(spans.dtypes)[start], dict(spans.dtypes)[end]]
+    whole = not {"double", "float"} & set(types)
+    digits = max(int(t[:-1].split(",")[1]) if t.startswith("decimal") else 0 for t in types) if whole else 0
+
+    def number(c: str, most: float = float("nan")) -> Column:
+        """Whole numbers (decimals by their last place), or doubles; not a number is null."""
+        if whole:
+            return (F.col(c).cast(f"decimal(18,{digits})") * F.lit(10**digits) if digits else F.col(c)).cast("bigint")
+        x = F.col(c).cast("double")
+        x = F.when(F.abs(x) < most, x)  # nan is more than infinity
+        return F.when(F.abs(x) >= 2.0**62, F.raise_error(F.lit(f"{c} is 2^62 or more"))).otherwise(x)
+
+    here = number(point, float("inf"))  # no span holds an infinite point
+    at = points.select(here.alias("_at")).filter("_at IS NOT NULL")
+    given = spans.select(number(start).alias("_start"), number(end).alias("_end"), F.col(name).alias("_name")).filter("_start < _end")
+    best = _smallest(at, given, whole, min((step * 10**digits - 1).bit_length(), 62))
     row = F.struct(*[F.col(f"`{c}`").alias(c) for c in points.columns])
-    marked = points.select(row.alias("_row"), F.col(point).alias("_point"), F.floor(F.col(point) / step).alias("_bucket"), F.monotonically_increasing_id().alias("_key"))
-    inside = (F.col("m._bucket") == F.col("l._bucket")) & (F.col("_start") <= F.col("_point")) & (F.col("_point") < F.col("_end"))
-    hits = marked.alias("m").join(listed.alias("l"), inside, "left")
-    best = hits.groupBy("_key").agg(F.first("_row").alias("_row"), F.min_by("_name", F.struct(F.col("_end") - F.col("_start"), "_name")).alias(name))
-    return best.select(*[F.col("_row")[c].alias(c) for c in points.columns], name)
+    held = points.select(row.alias("_row"), here.alias("_point")).join(best, F.col("_point") == F.col("_at"), "left")
+    return held.select(*[F.col("_row")[c].alias(c) for c in points.columns], F.col("_best.name").alias(name))
+
+
+def _smallest(at: DataFrame, spans: DataFrame, whole: bool, top: int | None) -> DataFrame:
+    """(_at, _best): the least (width, name) of the spans (_start, _end, _name) that hold each of the points that any
+    holds. A span's level is a power of two no longer than it, so its ends lie in different blocks; from `top` on, spans
+    give their ends to blocks of that level and the blocks between them, with the span's _width, to a round without top."""
+
+    def block(x: Column, level: Column) -> Column:
+        return F.call_function("shiftright", x, level) if whole else F.floor(x / F.pow(F.lit(2.0), level))
+
+    length = F.col("_end") - F.col("_start")
+    level = F.length(F.bin(length)) - 1 if whole else F.floor(F.log2(length)).cast("int") - 1
+    level, width = (level, F.col("_width")) if top is None else (F.least(level, F.lit(top)), length)
+    once = spans.groupBy(*[c for c in spans.columns if c != "_name"]).agg(F.min("_name").alias("_name")).withColumn("_level", level)
+    spans = spans.withColumn("_level", level)
+    first, last = block(F.col("_start"), F.col("_level")), block(F.col("_end"), F.col("_level"))
+    touched = F.sequence(first, last)
+    if top is not None:
+        touched = F.when(F.col("_level") == top, F.array(first, last)).otherwise(touched)
+    best = F.struct(width.alias("width"), F.col("_name").isNull().alias("unnamed"), F.col("_name").alias("name"))
+    pieces = once.select("_level", F.explode(touched).alias("_block"), "_start", "_end", last.alias("_last"), best.alias("_best"))
+    opens = F.col("_block") < F.col("_last")
+    rows = pieces.select("_level", "_block", F.when(opens, F.col("_start")).otherwise(F.col("_end")).alias("_at"), F.when(opens, 1).otherwise(2).alias("_kind"), "_best")
+    if top is not None:
+        inner = spans.filter((F.col("_level") == top) & (first + 1 < last)).select((first + 1).alias("_start"), last.alias("_end"), width.alias("_width"), "_name")
+        through = _smallest(at.select(block(F.col("_at"), F.lit(top)).alias("_at")), inner, True, None)
+        border = F.col("_at") * F.lit(1 << top)
+        rows = rows.unionByName(through.select(F.lit(top).alias("_level"), F.col("_at").alias("_block"), (border if whole else border.cast("double")).alias("_at"), F.lit(1).alias("_kind"), "_best"))
+    levels = F.broadcast(spans.select("_level").distinct())  # 64 at most
+    asked = at.distinct().crossJoin(levels).select("_level", block(F.col("_at"), F.col("_level")).alias("_block"), "_at", F.lit(0).alias("_kind"))
+    rows = rows.unionByName(asked, allowMissingColumns=True)
+    here = Window.partitionBy("_level", "_block")
+    # a piece from its start on counts at that point already, one up to its end no longer
+    from_ = F.min(F.when(F.col("_kind") == 1, F.col("_best"))).over(here.orderBy("_at", F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0))
+    until = F.min(F.when(F.col("_kind") == 2, F.col("_best"))).over(here.orderBy(F.desc("_at"), "_kind").rowsBetween(Window.unboundedPreceding, 0))
+    found = rows.select("_at", "_kind", F.least(from_, until).alias("_best")).filter("_kind = 0 AND _best IS NOT NULL")
+    return found.groupBy("_at").agg(F.min("_best").alias("_best"))
 
 
 def candidates(calls: DataFrame, call: str, keys: Column, targets: DataFrame, key: str, target: str) -> DataFrame:

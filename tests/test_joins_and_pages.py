@@ -1,6 +1,7 @@
 """Containment, pages and bounds on small tables against a few lines of Python."""
 
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -24,6 +25,50 @@ def test_containment_keeps_points_with_nulls_and_repeats(spark):
     assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, ((*x, best(x[1])) for x in points)))
 
 
+@pytest.mark.parametrize("kind", ["int", "long", "double", "decimal(9,2)"])
+def test_containment_of_long_short_and_fractional_spans(spark, kind):
+    rng = random.Random(2)
+    part = {"double": 8, "decimal(9,2)": 100}.get(kind, 1)
+    as_kind = {"double": float, "decimal(9,2)": Decimal}.get(kind, int)
+    number = lambda k: as_kind(k) / part if part > 1 else k
+    starts = [rng.randrange(-900 * part, 900 * part) for _ in range(150)]
+    spans = [(k % 120, number(lo), number(lo + rng.choice([-3, 0, 1, 2, 5, 16, 17, 130, 1024, 1500]) * rng.choice([1, part]))) for k, lo in enumerate(starts)]
+    spans += [(None, number(3), number(9)), (7, None, number(9)), (8, number(1), None)]
+    points = [(k, number(k)) for k in (rng.randrange(-1000 * part, 1000 * part) for _ in range(300))] + [(1, None)]
+    points += [(0, at) for _, lo, hi in spans for at in (lo, hi)]
+    p = spark.createDataFrame(points, f"id int, at {kind}")
+    s = spark.createDataFrame(spans, f"name int, lo {kind}, hi {kind}")
+
+    def best(at):
+        held = [(hi - lo, n is None, n) for n, lo, hi in spans if None not in (at, lo, hi) and lo <= at < hi]
+        return min(held)[2] if held else None
+
+    plain = lambda rows: sorted(repr((k, None if at is None else float(at), n)) for k, at, n in rows)
+    for step in (1, 7, 64, 5000):
+        got = joins.contained_in(p, "at", s, "lo", "hi", "name", step)
+        assert plain(got.collect()) == plain((*x, best(x[1])) for x in points)
+
+
+def test_containment_makes_no_row_for_each_pair_that_meets(spark):
+    n = 3000
+    p = spark.range(n).select("id", (F.col("id") % 1000).alias("at"))
+    s = spark.range(n).select(F.col("id").alias("name"), (F.col("id") * -7 % 400).alias("lo"), (F.col("id") % 600 + 500).alias("hi"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the plan's counts can be read
+    try:
+        got = joins.contained_in(p, "at", s, "lo", "hi", "name", 3600)
+        assert len(got.collect()) == n
+        left, most = [got._jdf.queryExecution().executedPlan()], 0
+        while left:
+            node = left.pop()
+            children = node.children()
+            left += [children.apply(k) for k in range(children.size())]
+            if node.metrics().contains("numOutputRows"):
+                most = max(most, node.metrics().apply("numOutputRows").value())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert n <= most <= 20 * n
+
+
 def test_text_pages_never_cut_a_character(spark):
     texts = ["", "a" * 25, "é" * 13, "漢字" * 7, "a😀b" * 9, "plain é 漢 😀 end", None]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
